@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, quality, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
+    "op7_quality": quality.query,
     "op8_simhash": simhash.query,
 }
 ORACLES = {
