@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, simhash
+from . import exact_dedup, langid, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_toxicity": toxicity.query,
     "op7_quality": quality.query,
     "op8_simhash": simhash.query,
 }
