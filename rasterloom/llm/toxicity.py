@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Tokens are runs of letters; a token's evidence is the best lower confidence bound of the
-log-odds of its whole form or one of its prefixes, under a Dirichlet prior.  Every other
-token costs a fixed penalty.  A linear-time scan finds all maximal-scoring segments of a
+log-odds of its whole form or one of its prefixes, under a Dirichlet prior; it counts at
+its first occurrence in a document.  Every other token costs a fixed penalty.  A linear-time scan finds all maximal-scoring segments of a
 document; extreme-value statistics (the chance that a clean text of that length holds such
 a segment) turn scores into evidence, which is summed over significant segments and
 calibrated to a probability.
@@ -107,6 +107,12 @@ class Model:
             tokens = Tokens(data, offsets)
             gains = self.gain(tokens)
             hit = np.flatnonzero(gains > 0)
+            # a token form speaks once per document: repeats add no evidence
+            order = np.lexsort((hit, tokens.hashes()[hit], tokens.doc[hit]))
+            form, doc = tokens.hashes()[hit][order], tokens.doc[hit][order]
+            fresh = np.ones(len(hit), bool)
+            fresh[1:] = (form[1:] != form[:-1]) | (doc[1:] != doc[:-1])
+            hit = np.sort(hit[order[fresh]])
             first = np.concatenate([[0], np.cumsum(tokens.per_doc)])
             cut = np.searchsorted(hit, first)
             for d in range(tokens.n_docs):
