@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, quality, simhash, toxicity
+from . import exact_dedup, langid, lm, quality, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
+    "op2_lm_score": lm.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_toxicity": toxicity.query,
     "op7_quality": quality.query,
