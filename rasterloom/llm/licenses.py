@@ -69,6 +69,15 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str,
     return row["n"], {t: row[f"t{k}"] for k, t in enumerate(VOCABULARY)}
 
 
+def _projected(scaled: Column):
+    """The step that adds a counted term's share of the dot product with one template."""
+
+    def step(total: Column, x: Column) -> Column:
+        return total + x["n"] * F.coalesce(x["i"] * F.try_element_at(scaled, x["w"]), F.lit(0.0))
+
+    return step
+
+
 def _best(words: Column, idf: dict[str, float]) -> Column:
     """Struct (score, name) of the nearest template; ties go to the first name."""
     weight = F.create_map(*(F.lit(x) for t in VOCABULARY for x in (t, idf[t])))
@@ -79,7 +88,7 @@ def _best(words: Column, idf: dict[str, float]) -> Column:
     for name, vector in sorted(VECTORS.items()):
         own = math.sqrt(sum((n * idf[t]) ** 2 for t, n in vector.items()))
         scaled = F.create_map(*(F.lit(x) for t, n in sorted(vector.items()) for x in (t, n * idf[t] / own)))
-        dot = F.aggregate(counted, F.lit(0.0), lambda a, x, scaled=scaled: a + x["n"] * F.coalesce(x["i"] * F.try_element_at(scaled, x["w"]), F.lit(0.0)))
+        dot = F.aggregate(counted, F.lit(0.0), _projected(scaled))
         scores.append(F.struct(F.round(dot / F.sqrt(norm2), 6).alias("score"), F.lit(name).alias("name")))
     return F.reduce(F.array(*scores), F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
 
