@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from rasterloom.operators import timeseries
+from rasterloom.plans import network
+
 FLAGSHIP = "velocity_neff"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = network.QUERIES | timeseries.QUERIES
+ORACLES: dict = network.ORACLES | timeseries.ORACLES
