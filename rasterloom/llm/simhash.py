@@ -27,6 +27,7 @@ SEED = 42
 SHINGLE = 4
 MAX_DISTANCE = 4
 HUB_ROUNDS = 2
+BROADCAST_KEYS = 1_000_000  # keys of 8 bytes, some 30 MB as a hash table; more are joined by a shuffle
 _CHUNK = 1 << 16
 
 
@@ -102,12 +103,17 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 def link_components(fps: DataFrame) -> DataFrame:
     """``(fp, root)`` of every distinct fingerprint that links to another."""
-    pairs = written(fps.transform(buckets), "balls")
+    # dealt anew first: a ball is 66 times its fingerprint, and the table of fingerprints has few files
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = fps.repartition(tasks, "fp").transform(buckets)
     shared = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
     shared = written(shared, "shared-buckets")
     # a bucket of two needs no members: its pair is (lo, hi)
     found = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(_near("a", "b"))
-    members = written(pairs.join(shared.where("n > 2").select("key"), "key"), "large-buckets")
+    wanted = shared.where("n > 2").select("key")
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    members = written(pairs.join(wanted, "key"), "large-buckets")
     roots = None
     for k in range(HUB_ROUNDS):
         hub = members.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("hub"))
