@@ -45,16 +45,15 @@ class Tokens(Words):
         super().__init__(np.where(LETTER[data], data, np.uint8(32)), offsets)
         self.data = LOWER[data]
 
-    def levels(self) -> Iterator[np.ndarray]:
-        """Hashes of the whole token, then of each prefix; a prefix longer than the token repeats the whole."""
-        whole = self.hashes()
+    def levels(self, whole: np.ndarray, at: np.ndarray | slice = slice(None)) -> Iterator[np.ndarray]:
+        """For tokens ``at`` of hashes ``whole``: these, then those of each prefix; a prefix longer than the token repeats the whole."""
         yield whole
-        length = self.ends - self.starts
+        starts, length = self.starts[at], self.ends[at] - self.starts[at]
         for k in PREFIXES:
             out = whole.copy()
             longer = length > k
             if longer.any():
-                out[longer] = self.span_hash(self.starts[longer], self.starts[longer] + k) ^ np.uint64(k)
+                out[longer] = self.span_hash(starts[longer], starts[longer] + k) ^ np.uint64(k)
             yield out
 
 
@@ -92,24 +91,29 @@ class Model:
     slope: float
     offset: float
 
-    def gain(self, tokens: Tokens) -> np.ndarray:
-        best = np.zeros(len(tokens.starts))
+    def gain(self, tokens: Tokens, whole: np.ndarray) -> np.ndarray:
+        """Evidence of each token, looked up once for each form of the group; ``whole`` has the tokens' hashes."""
         if not len(self.keys):
-            return best
-        for h in tokens.levels():
+            return np.zeros(len(whole))
+        forms, form = np.unique(whole, return_inverse=True)
+        at = np.empty(len(forms), dtype=np.int64)
+        at[form] = np.arange(len(whole))  # any token of a form stands for it
+        best = np.zeros(len(forms))
+        for h in tokens.levels(forms, at):
             k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             np.maximum(best, np.where(self.keys[k] == h, self.gains[k], 0.0), out=best)
-        return best
+        return best[form]
 
     def segments(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float, float]]]]:
         """Per document the token count and its segments ``(byte from, byte to, score, log10-free E-value)``."""
         for _, _, data, offsets in groups(column):
             tokens = Tokens(data, offsets)
-            gains = self.gain(tokens)
+            whole = tokens.hashes()
+            gains = self.gain(tokens, whole)
             hit = np.flatnonzero(gains > 0)
             # a token form speaks once per document: repeats add no evidence
-            order = np.lexsort((hit, tokens.hashes()[hit], tokens.doc[hit]))
-            form, doc = tokens.hashes()[hit][order], tokens.doc[hit][order]
+            order = np.lexsort((hit, whole[hit], tokens.doc[hit]))
+            form, doc = whole[hit][order], tokens.doc[hit][order]
             fresh = np.ones(len(hit), bool)
             fresh[1:] = (form[1:] != form[:-1]) | (doc[1:] != doc[:-1])
             hit = np.sort(hit[order[fresh]])
@@ -141,7 +145,7 @@ def fit_log_odds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             y = np.asarray(batch.column(0).cast(pa.int64()))
             for first, last, data, offsets in groups(batch.column(1)):
                 tokens = Tokens(data, offsets)
-                h = np.concatenate(list(tokens.levels()))
+                h = np.concatenate(list(tokens.levels(tokens.hashes())))
                 doc = np.tile(tokens.doc, len(PREFIXES) + 1)
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
