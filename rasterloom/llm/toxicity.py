@@ -60,26 +60,27 @@ class Tokens(Words):
 def maximal_segments(at: np.ndarray, gain: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(first, last, score)`` where positions ``at`` score ``gain`` > 0 and all others ``-penalty``.
 
-    Linear time: candidates are kept with their cumulative left and right sums; a new one absorbs
-    those back to the nearest with a smaller left sum while their right sums are smaller.
+    Linear time: candidates are kept with their cumulative left and right sums and the place of the
+    nearest candidate before with a smaller left sum, so a search skips all between; a new one absorbs
+    those back to such a candidate while its right sum is smaller.
     """
-    out: list[tuple[int, int, float, float]] = []  # first, last, left sum, right sum
+    out: list[tuple[int, int, float, float, int]] = []  # first, last, left sum, right sum, nearest smaller left
     total, last_at = 0.0, -1
     for p, g in zip(at.tolist(), gain.tolist()):
         total -= penalty * (p - last_at - 1)
-        first, left = p, total
+        first, left, j = p, total, len(out) - 1
         total += g
         last_at = p
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= left:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= total:
-                out.append((first, p, left, total))
+                out.append((first, p, left, total, j))
                 break
-            first, left = out[j][0], out[j][2]
+            first, _, left, _, nearest = out[j]
             del out[j:]
-    return [(a, b, r - l) for a, b, l, r in out]
+            j = nearest
+    return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
 @dataclass
