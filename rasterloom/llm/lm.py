@@ -1,9 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Unigram counts of the whole training fold are exact: the base score looks frequent words up
-in a broadcast dictionary of bounded size and joins the rest by hash.  The model is a class
-bigram: the ``CLASSES`` most frequent words are their own class and all others share one.
-Counts of words and of class bigrams are quantised to powers of ``LOG_BASE`` and held in a
+in a broadcast dictionary of bounded size and joins the rest by hash.  The model is a bigram
+over all words of the training fold.  Counts of words and of bigrams are quantised to powers of ``LOG_BASE`` and held in a
 Bloom filter; a count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is
 absent, and interpolated probabilities follow from those counts.
 
@@ -27,7 +26,6 @@ from .training import in_training
 
 FOLDS, HELD = 7, 2
 HOT_WORDS = 1 << 18  # entries of the exact dictionary that is broadcast
-CLASSES = 1 << 13
 LOG_BASE = 2.0
 BITS_PER_ENTRY = 12
 PROBES = 6
@@ -75,14 +73,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """The most frequent words: sorted hashes, exact counts, class numbers (``CLASSES`` for none)."""
+    """The most frequent words: sorted hashes and exact counts."""
 
     keys: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
     total: int
     distinct: int
-    rare_total: int  # tokens outside the classes
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each hash, or -1."""
@@ -91,21 +87,14 @@ class Lexicon:
         k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[k] == h, k, -1)
 
-    def class_of(self, at: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, self.classes[at] if len(self.classes) else CLASSES, CLASSES)
-
 
 def lexicon(counts: DataFrame) -> Lexicon:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = _most_frequent(counts, total["n"] or 0)
     got = top.toArrow()
     h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, -c))] = np.arange(len(h))
     order = np.argsort(h)
-    classes = np.minimum(rank[order], CLASSES)
-    n = int(total["n"] or 0)
-    return Lexicon(h[order], c[order], classes, n, int(total["v"]), n - int(c[order][classes < CLASSES].sum()))
+    return Lexicon(h[order], c[order], int(total["n"] or 0), int(total["v"]))
 
 
 def _most_frequent(counts: DataFrame, total: int) -> DataFrame:
@@ -113,9 +102,8 @@ def _most_frequent(counts: DataFrame, total: int) -> DataFrame:
     return counts.where(F.col("c") * HOT_WORDS > total)
 
 
-def bigram_counts(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> DataFrame:
-    """``(h, c)`` of class bigrams ``first * (CLASSES + 1) + second``; a document starts after an end."""
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
+def bigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(h, c)`` of the bigrams of all words by :func:`bigram_key`; a document starts after an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -123,11 +111,11 @@ def bigram_counts(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> Data
         def merged() -> pa.RecordBatch:
             h, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             key, back = np.unique(h, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(back, c, len(key)).astype(np.int64))], names=["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(back, c, len(key)).astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
             for _, _, data, offsets in groups(batch.column(0)):
-                held.append(np.unique(_bigrams(shared.value, *_token_stream(data, offsets))[0], return_counts=True))
+                held.append(np.unique(bigram_key(*_bigrams(*_token_stream(data, offsets))), return_counts=True))
                 if sum(len(x) for x, _ in held) > 2_000_000:
                     yield merged()
                     held = []
@@ -137,17 +125,16 @@ def bigram_counts(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> Data
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _bigrams(lex: Lexicon, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class bigram, first class and second class of each token."""
-    second = lex.class_of(lex.find(h))
-    end = int(lex.class_of(lex.find(np.array([END])))[0])
-    first = np.concatenate([[end], second[:-1]])
-    first[np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []] = end
-    return (first * (CLASSES + 1) + second).astype(np.int64), first, second
+def _bigrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second word of each token's bigram."""
+    first = np.concatenate([[END], h[:-1]]) if len(h) else h
+    first[np.flatnonzero(doc[1:] != doc[:-1]) + 1] = END
+    return first, h
 
 
-def bigram_key(code: np.ndarray) -> np.ndarray:
-    return mix(code.astype(np.uint64) + (BIGRAM_SALT << np.uint64(48)))
+def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(first + (BIGRAM_SALT << np.uint64(48))) + second)
 
 
 class LogBloom:
@@ -240,41 +227,28 @@ class Model:
     bloom: LogBloom
 
     def log10(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 probability of each token under the interpolated class bigram."""
-        lex, bloom = self.lex, self.bloom
-        whole = lex.total + lex.distinct + 1.0
-        word, word_at = np.unique(h, return_inverse=True)
-        c = bloom.count(word)[word_at]
-        base = (c + 1.0) / whole
-        code, first, second = _bigrams(lex, h, doc)
-        pair, pair_at = np.unique(code, return_inverse=True)
-        together = bloom.count(bigram_key(pair))[pair_at]
-        # counts of contexts and classes come from the same filter as single words
-        context = np.concatenate([[0.0], c[:-1]])
-        start = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        ends = float(bloom.count(np.array([END]))[0])
-        context = np.where(start, ends, context)
-        context = np.where(first == CLASSES, float(lex.rare_total), context)
-        class_mass = np.where(second == CLASSES, float(lex.rare_total + 1), c)
-        within = np.where(second == CLASSES, np.minimum((c + 1.0) / np.maximum(class_mass, 1.0), 1.0), 1.0)
-        ml = np.minimum(together / np.maximum(context, 1.0), 1.0) * within
+        """log10 probability of each token under the interpolated bigram."""
+        whole = self.lex.total + self.lex.distinct + 1.0
+        first, _ = _bigrams(h, doc)
+        word, word_at = np.unique(np.concatenate([h, [END]]), return_inverse=True)
+        counts = self.bloom.count(word)[word_at]
+        c, ends = counts[:-1], counts[-1]
+        pair, pair_at = np.unique(bigram_key(first, h), return_inverse=True)
+        together = self.bloom.count(pair)[pair_at]
+        # counts of contexts come from the same filter as single words
+        context = np.concatenate([[ends], c[:-1]]) if len(c) else c
+        context[np.flatnonzero(doc[1:] != doc[:-1]) + 1] = ends
+        ml = np.minimum(together / np.maximum(context, 1.0), 1.0)
         lam = np.where(context > 0, LAMBDA, 0.0)
-        return np.log10(lam * ml + (1.0 - lam) * base)
+        return np.log10(lam * ml + (1.0 - lam) * (c + 1.0) / whole)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     """Exact word counts (a written table) and the model, from all rows of ``docs``; null text is empty."""
     counts = written(word_counts(docs, text_col), "word-counts")
     lex = lexicon(counts)
-    pairs = bigram_counts(docs, lex, text_col)
-    pairs = written(pairs, "bigram-counts")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bigram_key(np.asarray(batch.column(0))).view(np.int64)), batch.column(1)], names=["key", "c"])
-
-    bloom = build_filter(counts.select(F.col("h").alias("key"), "c"), pairs.mapInArrow(keyed, "key long, c long"))
-    return counts, Model(lex, bloom)
+    pairs = written(bigram_counts(docs, text_col), "bigram-counts")
+    return counts, Model(lex, build_filter(*(x.select(F.col("h").alias("key"), "c") for x in (counts, pairs))))
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
