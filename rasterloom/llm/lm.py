@@ -4,7 +4,9 @@ Unigram counts of the whole training fold are exact: the base score looks freque
 in a broadcast dictionary of bounded size and joins the rest by hash.  The model is a bigram
 over all words of the training fold.  Counts of words and of bigrams are quantised to powers of ``LOG_BASE`` and held in a
 Bloom filter; a count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is
-absent, and interpolated probabilities follow from those counts.
+absent, and interpolated probabilities follow from those counts.  The filter is broadcast up to
+``MAX_FILTER_BYTES``; past that it keeps the higher levels, the other counts stay a table, and
+tokens with a count the filter lacks meet that table in a join, so no count is dropped.
 
 Words are identified by 64-bit hashes of their bytes.
 """
@@ -34,6 +36,7 @@ SEGMENT_BITS = 18  # a filter segment holds all bits of its entries
 LAMBDA = 0.7
 END = np.uint64(0x5EED0E4D5EED0E4D)  # the end token's hash
 BIGRAM_SALT = np.uint64(0xB16A)
+OPEN = ["pair", "word", "context", "pair_q", "word_q", "context_q"]  # a token's keys, and the levels known of them
 
 
 def _token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +143,9 @@ def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class LogBloom:
     """Bloom filter of (key, level); all bits of an entry lie in one segment."""
 
-    def __init__(self, segments: int, data: np.ndarray) -> None:
+    def __init__(self, segments: int, data: np.ndarray, cutoff: int = 1) -> None:
         self.segments, self.data = segments, data  # bytes, segments x 2**SEGMENT_BITS / 8
+        self.cutoff = cutoff  # keys of lower levels are not in the filter
 
     @staticmethod
     def segment(key: np.ndarray, segments: int) -> np.ndarray:
@@ -169,11 +173,11 @@ class LogBloom:
                 ok &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             alive = alive[ok]
             out[alive] = q
-        return out
+        return np.where(out < self.cutoff, 0, out)
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        """Mid-bucket count of the quantised level; 0 if absent."""
-        q = self.level(key)
+    @staticmethod
+    def count(q: np.ndarray) -> np.ndarray:
+        """Mid-bucket count of a quantised level; 0 if absent."""
         low = LOG_BASE ** (q - 1.0)
         return np.where(q > 0, np.where(q == 1, 1.0, (low + np.maximum(low, LOG_BASE * low - 1)) / 2), 0.0)
 
@@ -183,11 +187,11 @@ def quantise(c: Column) -> Column:
     return (F.length(F.bin(c))).cast("int") if LOG_BASE == 2.0 else (F.floor(F.log(F.lit(LOG_BASE), c)) + 1).cast("int")
 
 
-def build_filter(words: DataFrame, bigrams: DataFrame) -> LogBloom:
-    """All word and bigram counts in one filter; ``key`` is a 64-bit hash and ``c`` its count.
+def build_filter(words: DataFrame, bigrams: DataFrame) -> tuple[LogBloom, DataFrame | None]:
+    """Word and bigram counts in one filter; ``key`` is a 64-bit hash and ``c`` its count.
 
-    The size follows the number of entries up to ``MAX_FILTER_BYTES``; beyond that the lowest
-    levels' cutoff rises so that entries keep ``BITS_PER_ENTRY`` bits (counts under it read as 0).
+    The size follows the number of entries up to ``MAX_FILTER_BYTES``; beyond that keys under a cutoff
+    level are left to the written table ``(key, q)``, which is None while the filter holds all.
     """
     levels = words.select("key", quantise(F.col("c")).alias("q")).unionByName(bigrams.select("key", quantise(F.col("c")).alias("q")))
     histogram = sorted((r["q"], r["n"]) for r in levels.groupBy("q").agg(F.count("*").alias("n")).collect())
@@ -218,44 +222,65 @@ def build_filter(words: DataFrame, bigrams: DataFrame) -> LogBloom:
     got = parts.toArrow()
     for s, b in zip(got["seg"].to_pylist(), got["bits"]):
         data[s * size : (s + 1) * size] |= np.frombuffer(b.as_py(), np.uint8)
-    return LogBloom(segments, data)
+    rest = None if cutoff == 1 else written(levels.where(F.col("q") < cutoff), "low-counts")
+    return LogBloom(segments, data, cutoff), rest
 
 
 @dataclass
 class Model:
     lex: Lexicon
-    bloom: LogBloom
+    bloom: LogBloom  # low counts past its bound are in a table beside the model
 
-    def log10(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 probability of each token under the interpolated bigram."""
-        whole = self.lex.total + self.lex.distinct + 1.0
+    def levels(self, h: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Keys of each token's bigram, word and context, and the levels the filter has for them."""
         first, _ = _bigrams(h, doc)
         word, word_at = np.unique(np.concatenate([h, [END]]), return_inverse=True)
-        counts = self.bloom.count(word)[word_at]
-        c, ends = counts[:-1], counts[-1]
-        pair, pair_at = np.unique(bigram_key(first, h), return_inverse=True)
-        together = self.bloom.count(pair)[pair_at]
-        # counts of contexts come from the same filter as single words
-        context = np.concatenate([[ends], c[:-1]]) if len(c) else c
-        context[np.flatnonzero(doc[1:] != doc[:-1]) + 1] = ends
+        q = self.bloom.level(word)[word_at]
+        pairs = bigram_key(first, h)
+        pair, pair_at = np.unique(pairs, return_inverse=True)
+        # contexts come from the same filter as single words
+        context = np.concatenate([q[-1:], q[:-2]]) if len(h) else q[:0]
+        context[np.flatnonzero(doc[1:] != doc[:-1]) + 1] = q[-1]
+        return [pairs, h, first], [self.bloom.level(pair)[pair_at], q[:-1], context]
+
+    def log10(self, levels: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of tokens under the interpolated bigram."""
+        together, c, context = map(self.bloom.count, levels)
         ml = np.minimum(together / np.maximum(context, 1.0), 1.0)
         lam = np.where(context > 0, LAMBDA, 0.0)
-        return np.log10(lam * ml + (1.0 - lam) * (c + 1.0) / whole)
+        return np.log10(lam * ml + (1.0 - lam) * (c + 1.0) / (self.lex.total + self.lex.distinct + 1.0))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
-    """Exact word counts (a written table) and the model, from all rows of ``docs``; null text is empty."""
+def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model, DataFrame | None]:
+    """Exact word counts (a written table), the model and the counts its filter leaves out, from all rows of ``docs``; null text is empty."""
     counts = written(word_counts(docs, text_col), "word-counts")
     lex = lexicon(counts)
     pairs = written(bigram_counts(docs, text_col), "bigram-counts")
-    return counts, Model(lex, build_filter(*(x.select(F.col("h").alias("key"), "c") for x in (counts, pairs))))
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bloom, low = build_filter(*(x.select(F.col("h").alias("key"), "c") for x in (counts, pairs)))
+    return counts, Model(lex, bloom), low
+
+
+def open_scores(local: DataFrame, low: DataFrame, whole: float) -> DataFrame:
+    """``(row, open)``: the score of tokens of which the filter lacks a count, after joins with the low counts."""
+    tokens = local.select("row", F.explode("open").alias("t")).select("row", F.monotonically_increasing_id().alias("k"), "t.*")
+    for name in ("pair", "word", "context"):
+        known = F.col(f"{name}_q") > 0
+        # known counts need no partner: a spread key that is ignored keeps common words from meeting in one task
+        side = low.select(F.col("key").alias("join_key"), F.col("q").alias("low_q"))
+        tokens = tokens.withColumn("join_key", F.when(known, F.xxhash64("row", "k")).otherwise(F.col(name))).join(side, "join_key", "left")
+        tokens = tokens.withColumn(f"{name}_q", F.when(known, F.col(f"{name}_q")).otherwise(F.coalesce("low_q", F.lit(0)))).drop("join_key", "low_q")
+    pair, word, context = (F.when(F.col(f"{x}_q") > 0, (3 * F.pow(F.lit(LOG_BASE), F.col(f"{x}_q") - 1) - 1) / 2).otherwise(0.0) for x in ("pair", "word", "context"))
+    lam = F.when(context > 0, LAMBDA).otherwise(0.0)
+    p = lam * F.least(pair / F.greatest(context, F.lit(1.0)), F.lit(1.0)) + (1.0 - lam) * (word + 1.0) / whole
+    return tokens.groupBy("row").agg(F.sum(F.log10(p)).alias("open"))
+
+
+def score(docs: DataFrame, counts: DataFrame, model: Model, low: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row, id, n_tokens, n_known, base_score, score)``, one per input row.
 
     A text's frequent words are scored where it is read; its other words travel as
-    (hash, row, occurrences) and meet the exact counts in a join.
+    (hash, row, occurrences) and meet the exact counts in a join.  Where the filter leaves ``low``
+    counts out, so do the tokens that need one.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -283,17 +308,25 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
                 times = np.diff(np.concatenate([where, [len(rare_h)]])).astype(np.int32)
                 hs = rare_h[where].view(np.int64)
                 cuts = np.searchsorted(rare_doc[where], np.arange(n + 1)).astype(np.int32)
+                keys, levels = model.levels(h, doc)
+                settled = np.ones(len(h), bool)
+                if model.bloom.cutoff > 1:
+                    settled = np.logical_and.reduce([q > 0 for q in levels])
+                unsettled = np.flatnonzero(~settled)
+                parts = [pa.array(x[unsettled].view(np.int64)) for x in keys] + [pa.array(q[unsettled].astype(np.int32)) for q in levels]
+                opens = np.searchsorted(doc[unsettled], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(n)), batch.column(0)[first:last], pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[hot], minlength=n)),
-                        pa.array(np.bincount(doc[hot], part, n)), pa.array(np.bincount(doc, model.log10(h, doc), n)),
+                        pa.array(np.bincount(doc[hot], part, n)), pa.array(np.bincount(doc[settled], model.log10([q[settled] for q in levels]), n).astype(float)),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(hs)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times)),
+                        pa.ListArray.from_arrays(pa.array(opens), pa.StructArray.from_arrays(parts, OPEN)),
                     ],
-                    names=["row", "id", "n_tokens", "hot_known", "hot_score", "score", "rare", "times"],
+                    names=["row", "id", "n_tokens", "hot_known", "hot_score", "score", "rare", "times", "open"],
                 )
                 row += n
 
-    schema = f"row long, id {kind}, n_tokens long, hot_known long, hot_score double, score double, rare array<long>, times array<int>"
+    schema = f"row long, id {kind}, n_tokens long, hot_known long, hot_score double, score double, rare array<long>, times array<int>, open array<struct<{', '.join(f'{x} {kinds}' for x, kinds in zip(OPEN, ['long'] * 3 + ['int'] * 3))}>>"
     local = written(docs.select(id_col, text_col).mapInArrow(run, schema), "local-scores")
     rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     joined = rare.join(counts.where(F.col("c") * HOT_WORDS <= model.lex.total), "h", "left")
@@ -302,6 +335,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((c + 1.0) / F.lit(whole))).alias("rest")
     )
     out = local.select("row", "id", "n_tokens", "hot_known", "hot_score", "score").join(rest, "row", "left")
+    if low is not None:
+        out = out.join(open_scores(local, low, whole), "row", "left").withColumn("score", F.col("score") + F.coalesce("open", F.lit(0.0)))
     return out.select(
         "row", "id", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("hot_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score"
     )
@@ -309,8 +344,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts, model = train(docs.where(in_training("doc_id", FOLDS, HELD) | F.col("doc_id").isNull()))
-    found = score(docs, counts, model)
+    counts, model, low = train(docs.where(in_training("doc_id", FOLDS, HELD) | F.col("doc_id").isNull()))
+    found = score(docs, counts, model, low)
     return found.select(
         F.col("id").alias("doc_id"), held_out(F.col("id"), FOLDS, HELD).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.lex.total).cast("long").alias("train_tokens"), "base_score", "score",

@@ -36,8 +36,8 @@ def plain_scores(train, texts):
 
 def scored(spark):
     frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    counts, model = lm.train(frame(TEXTS))
-    got = {r["id"]: r["score"] for r in lm.score(frame(NEW), counts, model).collect()}
+    found = lm.train(frame(TEXTS))
+    got = {r["id"]: r["score"] for r in lm.score(frame(NEW), *found).collect()}
     return [got[k] for k in range(len(NEW))]
 
 
@@ -45,3 +45,10 @@ def test_bigrams_of_rare_words_are_counted(spark):
     # the filter's false positives change a few tokens in a thousand
     for got, want in zip(scored(spark), plain_scores(TEXTS, NEW)):
         assert got == pytest.approx(want, rel=0.02, abs=0.7)
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 1 << 15])
+def test_no_count_is_dropped_past_the_filter_bound(spark, monkeypatch, limit):
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", limit)
+    for got, want in zip(scored(spark), plain_scores(TEXTS, NEW)):
+        assert got == pytest.approx(want, rel=0.02, abs=0.7)
