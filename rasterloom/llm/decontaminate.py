@@ -124,7 +124,8 @@ class Benchmark:
             place[p - k, k] = p
         best = None
         for diagonal in by_diagonal:
-            near = {k: d for d in range(diagonal - SLACK, diagonal + SLACK + 1) for k in by_diagonal.get(d, ())}
+            # equal windows of a run of slots match on several diagonals: the central one goes first, then the nearest
+            near = {k: d for d in sorted(range(diagonal - SLACK, diagonal + SLACK + 1), key=lambda d: -abs(d - diagonal)) for k in by_diagonal.get(d, ())}
             share = len(near) / total
             if share < COVERAGE or (best and share <= best[1]):
                 continue
@@ -195,6 +196,8 @@ def _anchors(items: list[list[str]]) -> np.ndarray | None:
     return np.unique(np.concatenate(out))
 
 
+# what str.split takes as white space beyond the separators of Words
+_WIDE_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STRIP = np.zeros(256, bool)
 _STRIP[[ord(c) for c in _EDGE]] = True
 
@@ -250,7 +253,8 @@ def found_in(bench: Benchmark, column: pa.Array) -> list[tuple[int, tuple]]:
     if bench.anchors is None:
         keep = range(len(column))
     else:
-        keep = [first + int(d) for first, _, data, offsets in groups(pc.utf8_lower(column)) for d in np.flatnonzero(candidates(data, offsets, bench.anchors))]
+        spaced = pc.replace_substring_regex(pc.utf8_lower(column), _WIDE_SPACE, " ")
+        keep = [first + int(d) for first, _, data, offsets in groups(spaced) for d in np.flatnonzero(candidates(data, offsets, bench.anchors))]
     return [(d, m) for d in keep for m in bench.matches(column[d].as_py())]
 
 
