@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Tokens are runs of letters; a token's evidence is the best lower confidence bound of the
-log-odds of its whole form or one of its prefixes, under a Dirichlet prior; it counts at
-its first occurrence in a document.  Every other token costs a fixed penalty.  A linear-time scan finds all maximal-scoring segments of a
+log-odds of its whole form or one of its prefixes, under a Dirichlet prior; it counts once
+in a segment, and again in a later one.  Every other token costs a fixed penalty.  A linear-time scan finds all maximal-scoring segments of a
 document; extreme-value statistics (the chance that a clean text of that length holds such
 a segment) turn scores into evidence, which is summed over significant segments and
 calibrated to a probability.
@@ -83,6 +83,53 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, penalty: float = PENALTY)
     return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
+def distinct_segments(at: np.ndarray, gain: np.ndarray, form: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, int, float]]:
+    """Like :func:`maximal_segments`, where a ``form`` counts once in a segment and a repeat in it scores ``-penalty``.
+
+    A run goes on while its score is above 0 and ends at its peak; walking back from there finds the start
+    at which the forms up to the peak score most.  The search goes on behind the peak with no form counted,
+    and before that start; a run reaches no further behind its peak than its score and new forms pay for.
+    """
+    if len(np.unique(form)) == len(form):
+        return maximal_segments(at, gain, penalty)
+    at, gain, form = at.tolist(), gain.tolist(), form.tolist()
+    out: list[tuple[int, int, float]] = []
+    todo = [(0, len(at))]
+    while todo:
+        i, stop = todo.pop()
+        while i < stop:
+            total, peak, end, seen, repeats, fewer = 0.0, 0.0, i, set(), 0, 0
+            for j in range(i, stop):
+                if j > i:
+                    total -= penalty * (at[j] - at[j - 1] - 1)
+                if total <= 0 and j > i:
+                    break
+                if form[j] in seen:
+                    total, repeats = total - penalty, repeats + 1
+                else:
+                    seen.add(form[j])
+                    total += gain[j]
+                    if total > peak:
+                        peak, end, fewer = total, j, repeats
+            first = i
+            if fewer:
+                total, peak, seen = 0.0, 0.0, set()
+                for j in range(end, i - 1, -1):
+                    total -= penalty * (at[j + 1] - at[j] - 1) if j < end else 0.0
+                    if form[j] in seen:
+                        total -= penalty
+                    else:
+                        seen.add(form[j])
+                        total += gain[j]
+                        if total > peak:
+                            peak, first = total, j
+            out.append((at[first], at[end], peak))
+            if first > i:
+                todo.append((i, first))
+            i = end + 1
+    return sorted(out)
+
+
 @dataclass
 class Model:
     keys: np.ndarray  # sorted hashes of positive features
@@ -112,17 +159,11 @@ class Model:
             whole = tokens.hashes()
             gains = self.gain(tokens, whole)
             hit = np.flatnonzero(gains > 0)
-            # a token form speaks once per document: repeats add no evidence
-            order = np.lexsort((hit, whole[hit], tokens.doc[hit]))
-            form, doc = whole[hit][order], tokens.doc[hit][order]
-            fresh = np.ones(len(hit), bool)
-            fresh[1:] = (form[1:] != form[:-1]) | (doc[1:] != doc[:-1])
-            hit = np.sort(hit[order[fresh]])
             first = np.concatenate([[0], np.cumsum(tokens.per_doc)])
             cut = np.searchsorted(hit, first)
             for d in range(tokens.n_docs):
                 own, m = hit[cut[d] : cut[d + 1]], int(tokens.per_doc[d])
-                found = maximal_segments(own - first[d], gains[own]) if len(own) else []
+                found = distinct_segments(own - first[d], gains[own], whole[own]) if len(own) else []
                 base = int(offsets[d])
                 yield m, [(int(tokens.starts[a + first[d]]) - base, int(tokens.ends[b + first[d]]) - base, s, self.expected(s, m)) for a, b, s in found]
 
