@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.kernels import linking as k
-from rasterloom.sources.adapters import c_stack
+from rasterloom.sources.adapters import EPOCHS, c_stack
 
-TILE, EPOCHS = 64, 6
+TILE = 64
 
 
 def to_tiles(stack: DataFrame, tile: int, halo: int) -> DataFrame:
