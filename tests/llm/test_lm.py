@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rasterloom.llm import lm
@@ -15,40 +16,101 @@ TEXTS += [" ".join(rng.choices(WORDS, k=300)) for _ in range(80)]
 NEW = TEXTS[:3] + [" ".join(reversed(TEXTS[0].split())), "w1 unseen w2 w3", "", None]
 
 
-def plain_scores(train, texts):
-    split = lambda t: [*(t or "").split(), None]
+def split(text):
+    return [*(text or "").split(), None]
+
+
+def plain(train, texts, hot):
+    """``(tokens, known, base, score)`` of texts; ``hot`` tells which counts the dictionary holds."""
     words, pairs = Counter(), Counter()
     for t in train:
         w = split(t)
         words.update(w)
         pairs.update(zip([None, *w], w))
     whole = sum(words.values()) + len(words) + 1
-    mid = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0
+    probes = lambda c: max(6, 16 - min(c.bit_length(), 15)) if hot(c) else 15
+    false = 4 * sum(2.0 ** -probes(c) for c in words.values()) + 16
+    back = false + lm.BACKOFF
+    low = lambda c: 2 ** (c.bit_length() - 1) if c else 0
+    high = lambda c: 2 ** c.bit_length() - 1 if c else 0
     out = []
     for t in texts:
         w, total = split(t), 0.0
         for a, b in zip([None, *w], w):
-            lam = lm.LAMBDA if words[a] else 0.0
-            total += math.log10(lam * min(mid(pairs[a, b]) / max(mid(words[a]), 1), 1) + (1 - lam) * (mid(words[b]) + 1) / whole)
-        out.append(total)
+            n, c = words[a], words[b]
+            p0 = ((c if hot(c) else low(c)) + 1) / (whole * (1 + 2.0**-10))
+            context = n if hot(n) else high(n)
+            together = min(low(pairs[a, b]), context, c if hot(c) else high(c))
+            total += math.log10((together + back * p0) / (context * (1 + lm.EXCESS) + back + false) if context else p0)
+        out.append((len(w), sum(words[x] > 0 for x in w), sum(math.log10((words[x] + 1) / whole) for x in w), total))
     return out
 
 
+def frame(spark, rows):
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
 def scored(spark):
-    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    found = lm.train(frame(TEXTS))
-    got = {r["id"]: r["score"] for r in lm.score(frame(NEW), *found).collect()}
-    return [got[k] for k in range(len(NEW))]
+    found = lm.train(frame(spark, TEXTS))
+    got = {r["id"]: r for r in lm.score(frame(spark, NEW).selectExpr("*", "doc_id AS score", "text AS open"), *found).collect()}
+    return [(got[k]["n_tokens"], got[k]["n_known"], got[k]["base_score"], got[k]["score"]) for k in range(len(NEW))], found[1]
+
+
+def same(got, want):
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2]
+        assert g[2] == pytest.approx(w[2], rel=1e-9)
+        assert g[3] == pytest.approx(w[3], rel=0.005, abs=0.05)  # false positives change few tokens
 
 
-def test_bigrams_of_rare_words_are_counted(spark):
-    # the filter's false positives change a few tokens in a thousand
-    for got, want in zip(scored(spark), plain_scores(TEXTS, NEW)):
-        assert got == pytest.approx(want, rel=0.02, abs=0.7)
+def test_scores_follow_the_formula(spark):
+    got, model = scored(spark)
+    same(got, plain(TEXTS, NEW, lambda c: c > 0))
+    assert model.bloom.cutoff == 1
 
 
-@pytest.mark.parametrize("limit", [1 << 17, 1 << 15])
-def test_no_count_is_dropped_past_the_filter_bound(spark, monkeypatch, limit):
+def test_words_outside_the_dictionary_come_from_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_WORDS", 3000)
+    got, model = scored(spark)
+    least = model.lex.counts.min()
+    assert 0 < len(model.lex.keys) <= 3000
+    same(got, plain(TEXTS, NEW, lambda c: c >= least))
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 1 << 12, 0])
+@pytest.mark.parametrize("hot", [3000, 1 << 19])
+def test_no_count_is_dropped_past_the_filter_bound(spark, monkeypatch, limit, hot):
     monkeypatch.setattr(lm, "MAX_FILTER_BYTES", limit)
-    for got, want in zip(scored(spark), plain_scores(TEXTS, NEW)):
-        assert got == pytest.approx(want, rel=0.02, abs=0.7)
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 16)
+    got, model = scored(spark)
+    assert model.bloom.cutoff > 1
+    least = model.lex.counts.min()
+    same(got, plain(TEXTS, NEW, lambda c: c >= least))
+
+
+@pytest.mark.parametrize("hot", [300, 1 << 19])
+def test_every_context_sums_to_at_most_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    counts, model, _ = lm.train(docs)
+    rows = counts.orderBy("c", "h").collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    unseen = np.array([12345], np.uint64)
+    words = np.concatenate([h, unseen])
+    exact, q = model.word_levels(words)
+    assert q[-1] == 0 and exact[-1] == -1
+    picked = np.unique(np.concatenate([np.linspace(0, len(h), 120, dtype=int), np.arange(len(h) - 30, len(h) + 1)]))
+    for v in picked:
+        pair_q = model.bloom.level(lm.bigram_key(np.full(len(words), words[v]), words, lm.word_class(exact)))
+        p = 10 ** model.log10(pair_q, exact, q, np.full(len(words), exact[v]), np.full(len(words), q[v]))
+        assert p.sum() <= 1.0 + 1e-9
+        assert p.sum() > 0.2
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    nothing = frame(spark, [])
+    found = lm.train(nothing)
+    assert lm.score(nothing, *found).count() == 0
+    got = lm.score(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string"), *found).collect()
+    assert sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["score"]) for r in got) == sorted([("1", 3, 0, got[0]["score"]), ("1", 3, 0, got[0]["score"]), ("None", 1, 0, [r for r in got if r["id"] is None][0]["score"])])
