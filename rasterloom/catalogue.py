@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.operators import coherence, linking, timeseries
+from rasterloom.operators import coherence, linking, stack, timeseries
 from rasterloom.plans import network
 
 FLAGSHIP = "velocity_neff"
-QUERIES: dict = network.QUERIES | timeseries.QUERIES | coherence.QUERIES | linking.QUERIES
-ORACLES: dict = network.ORACLES | timeseries.ORACLES | coherence.ORACLES
+QUERIES: dict = network.QUERIES | timeseries.QUERIES | coherence.QUERIES | linking.QUERIES | stack.QUERIES
+ORACLES: dict = network.ORACLES | timeseries.ORACLES | coherence.ORACLES | stack.ORACLES
