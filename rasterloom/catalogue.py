@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.operators import coherence, linking, stack, timeseries
+from rasterloom.operators import coherence, inversion, linking, stack, timeseries, unwrapping
 from rasterloom.plans import network
 
 FLAGSHIP = "velocity_neff"
-QUERIES: dict = network.QUERIES | timeseries.QUERIES | coherence.QUERIES | linking.QUERIES | stack.QUERIES
-ORACLES: dict = network.ORACLES | timeseries.ORACLES | coherence.ORACLES | stack.ORACLES
+_MODULES = [network, timeseries, coherence, linking, stack, unwrapping, inversion]
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
