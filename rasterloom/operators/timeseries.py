@@ -26,7 +26,7 @@ def trend(cube: DataFrame, weight: Column) -> DataFrame:
 
     Valid samples have a finite value and positive weight.  The slope is per year; sigma grows with
     the residual variance where that exceeds one, inflation is that of a lag-1 process.  Pixels
-    with fewer than two distinct epochs have null estimates.
+    with fewer than two distinct epochs have null estimates, the inflation too.
     """
     pixel = Window.partitionBy("user_id")
     v = cube.select("user_id", F.col("t").cast("double").alias("t"), "y", weight.cast("double").alias("w")).where("w > 0 AND y IS NOT NULL AND NOT isnan(y)")
@@ -38,7 +38,7 @@ def trend(cube: DataFrame, weight: Column) -> DataFrame:
         F.count("*").alias("n"), F.max("slope").alias("slope"), F.max("sw").alias("sw"), F.max("det").alias("det"), F.sum(F.expr("w * r * r")).alias("wsse"),
         F.sum(F.expr("r * r")).alias("rss"), F.sum(F.expr("rc * before")).alias("cross"), F.sum(F.expr("rc * rc")).alias("own"),
     )
-    g = g.withColumn("rho", F.expr("case when n < 3 or own <= 0 then 0.0d else least(greatest(cross / nullif(own, 0), 0.0d), 0.98d) end"))
+    g = g.withColumn("rho", F.expr("case when own is null then null when n < 3 or own <= 0 then 0.0d else least(greatest(cross / nullif(own, 0), 0.0d), 0.98d) end"))
     factor = F.expr("case when n > 2 then greatest(1.0d, wsse / nullif(n - 2, 0)) else 1.0d end")
     return g.select(
         "user_id", F.col("n").alias("n_valid"), r6(F.col("slope") * YEAR, "velocity"), r6(F.sqrt(factor * F.expr("sw / nullif(det, 0)")) * YEAR, "sigma"),
@@ -80,10 +80,9 @@ def mosaic(cube: DataFrame, order: str) -> DataFrame:
 def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the full pixel by day grid without a sample: an anti-join on equal keys."""
     seen = table(spark, sf_dir, "events").select("user_id", day(F.col("ts")).alias("t")).distinct()
-    span = seen.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
-    if span["a"] is None:
-        return seen
-    full = seen.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(span["a"]), F.lit(span["b"]))).alias("t"))
+    span = seen.agg(F.min("t").alias("a"), F.max("t").alias("b")).withColumn("one", F.lit(1))
+    users = seen.select("user_id", F.lit(1).alias("one")).distinct()
+    full = users.join(F.broadcast(span), "one").where("a IS NOT NULL").select("user_id", F.explode(F.sequence("a", "b")).alias("t"))  # one row is broadcast
     return full.join(seen, ["user_id", "t"], "left_anti")
 
 

@@ -12,6 +12,7 @@ from rasterloom.sources.adapters import DAYS_SQL, ORIGIN, days, table
 
 BANDWIDTH, BASELINE, REFERENCE = 2, 4, 0
 STACK, CAP = 5, 10
+EXPLICIT = [(0, 3), (5, 2), (2, 5), (-1, 0), (4, 999), (7, 7)]
 
 
 def single_reference(n: DataFrame, reference: int = REFERENCE) -> DataFrame:
@@ -35,6 +36,15 @@ def network(n: DataFrame) -> DataFrame:
     return single_reference(n).union(bandwidth(n)).union(baseline(n)).distinct()
 
 
+def explicit(n: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """Pairs of ranks as given, negative ones from the end; a rank that does not exist gives no pair."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in pairs]))
+    x = n.groupBy().agg(F.count("*").cast("int").alias("n")).select("n", each.alias("p"))
+    at = lambda c: F.when(F.col(c) < 0, F.col(c) + F.col("n")).otherwise(F.col(c))
+    x = x.select("n", at("p.a").alias("a"), at("p.b").alias("b")).where("a <> b AND least(a, b) >= 0 AND greatest(a, b) < n")
+    return x.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+
+
 def triplets(pairs: DataFrame) -> DataFrame:
     """Closed triangles (i, j), (j, k), (i, k)."""
     ij, jk, ik = pairs.toDF("i", "j"), pairs.toDF("j", "k"), pairs.toDF("i", "k")
@@ -64,6 +74,17 @@ def ministacks(n: DataFrame, size: int = STACK, cap: int = CAP) -> DataFrame:
     )
 
 
+def ministack_references(n: DataFrame, size: int = STACK, cap: int = CAP, output: int = 0, sealed: int = 0) -> DataFrame:
+    """Output and compression reference of every ministack under each plan, after ``sealed`` earlier ones; -1 is the last epoch."""
+    if size < 2:
+        raise ValueError("a ministack holds at least two acquisitions")
+    batch = F.floor(F.col("k") / size).cast("int")
+    g = n.groupBy(batch.alias("batch")).agg(F.count("*").alias("num_real"))
+    comp = F.least(F.col("batch") + sealed, F.lit(cap))
+    plans = F.explode(F.array(*[F.struct(F.lit(p).alias("plan"), o.alias("o"), c.alias("c")) for p, o, c in (("always_first", F.lit(output), F.lit(output)), ("first_per", F.lit(output), comp), ("last_per", comp - 1, F.lit(-1)))]))
+    return g.select((F.col("batch") + sealed).alias("batch"), "num_real", comp.alias("num_compressed"), plans.alias("p")).select("batch", "num_real", "num_compressed", "p.plan", F.col("p.o").alias("output_ref"), F.col("p.c").alias("compressed_ref"))
+
+
 def blocks(spark: SparkSession, rows: int, cols: int, size: int, overlap: int) -> DataFrame:
     """Blocks of an array; a step is shortened by ``overlap`` only while another block follows."""
     if size <= 0:
@@ -106,6 +127,9 @@ QUERIES = {
     "triplets": _on_days(lambda n: triplets(network(n))),
     "incidence": _on_days(lambda n: incidence(network(n))),
     "ministack_plan": _on_days(ministacks),
+    "ministack_references": _on_days(ministack_references),
+    "ministack_resume": _on_days(lambda n: ministack_references(n, 4, 6, 1, 3)),
+    "net_explicit": _on_days(lambda n: explicit(n, EXPLICIT)),
     "iter_blocks": lambda spark, sf_dir: blocks(spark, 100, 64, 24, 4),
     "burst_group": burst_group,
     "decimal_days": decimal_days,
@@ -131,4 +155,11 @@ ORACLES = {
     "burst_group": """SELECT CASE WHEN p_size % 3 = 0 THEN 'T' || p_size || '-IW2' ELSE 'single' END AS burst, count(*) AS n FROM part GROUP BY 1""",
     "decimal_days": """SELECT event_type, CAST(date_diff('day', CAST(arg_min(ts, event_id) AS DATE), CAST(max(ts) AS DATE)) AS INT) AS last_day,
   CAST(date_diff('day', CAST(arg_min(ts, event_id) AS DATE), CAST(arg_max(ts, event_id) AS DATE)) AS INT) AS final_day FROM events GROUP BY 1""",
+    "ministack_references": f"""WITH {DAYS_SQL}, g AS (SELECT CAST(k // 5 AS INT) AS b, count(*) AS num_real FROM n GROUP BY 1), h AS (SELECT CAST(b + 0 AS INT) AS batch, num_real, CAST(least(b + 0, 10) AS INT) AS num_compressed FROM g)
+SELECT batch, num_real, num_compressed, p AS plan, CAST(CASE WHEN p = 'last_per' THEN num_compressed - 1 ELSE 0 END AS INT) AS output_ref,
+ CAST(CASE p WHEN 'always_first' THEN 0 WHEN 'first_per' THEN num_compressed ELSE -1 END AS INT) AS compressed_ref FROM h, (VALUES ('always_first'), ('first_per'), ('last_per')) t(p)""",
+    "ministack_resume": f"""WITH {DAYS_SQL}, g AS (SELECT CAST(k // 4 AS INT) AS b, count(*) AS num_real FROM n GROUP BY 1), h AS (SELECT CAST(b + 3 AS INT) AS batch, num_real, CAST(least(b + 3, 6) AS INT) AS num_compressed FROM g)
+SELECT batch, num_real, num_compressed, p AS plan, CAST(CASE WHEN p = 'last_per' THEN num_compressed - 1 ELSE 1 END AS INT) AS output_ref,
+ CAST(CASE p WHEN 'always_first' THEN 1 WHEN 'first_per' THEN num_compressed ELSE -1 END AS INT) AS compressed_ref FROM h, (VALUES ('always_first'), ('first_per'), ('last_per')) t(p)""",
+    "net_explicit": f"""WITH {DAYS_SQL}, m AS (SELECT CAST(count(*) AS INT) AS m FROM n) SELECT CAST(0 AS INT) AS i, CAST(3 AS INT) AS j FROM m UNION ALL SELECT 2, 5 FROM m UNION ALL SELECT 0, m - 1 FROM m""",
 }
