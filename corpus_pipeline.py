@@ -25,7 +25,7 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, re-parameterised ones included."""
-    return decontaminate.drop_contaminated(docs, decontaminate.load(table(spark, sf_dir, "benchmark")))
+    return decontaminate.drop_contaminated(docs, decontaminate.load_blocks(table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ STAGES = [
     ("decontamination", keep_uncontaminated),
     ("mixing", mix_sources),
 ]
-# learned scores and Python template matching have no SQL form; tests hold run() against brute force
+# learned scores and Python template matching have no SQL form; tests/llm/test_pipeline.py holds run() against brute force
 ORACLE_SQL = None
 
 

@@ -56,7 +56,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by :func:`written` that no later plan reads."""
+    path = getattr(df, "kept_path", None)
+    for item in [x for x in _kept if x[1] == path]:
+        remove(*item)
+        _kept.remove(item)
 
 
 def remove(spark: SparkSession, path: str) -> None:
