@@ -8,6 +8,7 @@ the item, and fill its slots consistently: one item value always maps to one tex
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import table
 from .textkernels import Words, groups, mix
@@ -25,7 +27,7 @@ from .textkernels import Words, groups, mix
 WINDOW = 5
 COVERAGE = 0.6  # share of an item's template windows that must match along a diagonal
 SLACK = 3  # tokens by which matching parts may shift (insertions, deletions)
-MAX_BENCHMARK_BYTES = 256 << 20
+BLOCK_BYTES = 4 << 20  # of benchmark text that is broadcast together; as an index some fifty times that
 
 # fixed values: unit words that count as a unit right after a number
 UNITS = frozenset(
@@ -87,6 +89,7 @@ def windows(tokens: list[str]) -> list[tuple[str, ...]]:
 class Benchmark:
     """The items, indexed by the hash of their windows."""
 
+    kind: str = "long"  # of the item ids
     items: list[tuple] = field(default_factory=list)  # (item id, tokens, surface)
     index: dict[tuple, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     anchors: np.ndarray | None = None
@@ -143,17 +146,25 @@ class Benchmark:
 
 
 def load(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
-    """The stated query set, refused beyond ``MAX_BENCHMARK_BYTES``; null texts hold nothing."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"benchmark holds {size} bytes; split it into blocks of at most {MAX_BENCHMARK_BYTES}")
-    out = Benchmark()
-    for item_id, text in zip(*(benchmark.select(id_col, text_col).toArrow()[c].to_pylist() for c in (0, 1))):
+    """A query set that is small enough to be one block; null texts hold nothing."""
+    rows = benchmark.select(id_col, text_col)
+    out, got = Benchmark(rows.schema[0].dataType.simpleString()), rows.toArrow()
+    for item_id, text in zip(*(got[c].to_pylist() for c in (0, 1))):
         out.add(item_id, text)
     out.anchors = _anchors([t for _, t, _ in out.items])
     return out
 
 
+def load_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[Benchmark]:
+    """The stated query set in hash blocks of about ``block_bytes`` of text, as many as it takes; every text is held against every block."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, math.ceil(size / block_bytes))
+    if blocks == 1:
+        return [load(benchmark, id_col, text_col)]
+    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks))
+    return [load(benchmark.where(part == k), id_col, text_col) for k in range(blocks)]
+
+
 def _runs(tokens: list[str], n: int) -> list[int]:
     """Starts of ``n`` plain (not slot) tokens in a row."""
     plain = [t[0] != "\x01" for t in tokens]
@@ -227,10 +238,20 @@ def candidates(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> np
     return out
 
 
-def contaminated(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, item_id, coverage, changed_slots)`` for every item a document holds; null and empty texts hold none."""
-    sample = next((i for i, _, _ in bench.items), 0)
-    item_type = "string" if isinstance(sample, str) else "long"
+def contaminated(docs: DataFrame, bench: Benchmark | list[Benchmark], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, item_id, coverage, changed_slots)`` for every item a document holds.
+
+    Whole texts are read.  Null and empty texts, and null and empty items, hold nothing; repeated rows and
+    repeated items are each answered; an item counts once a document, at the diagonal of most coverage (the
+    first of equals).  Empty tables give no rows; extra columns are not read.
+    """
+    if isinstance(bench, list):
+        found = contaminated(docs, bench[0], id_col, text_col)
+        for more in bench[1:]:
+            found = found.unionByName(contaminated(docs, more, id_col, text_col))
+        return found
+    item_type = bench.kind
+    item_arrow = to_arrow_type(docs.sparkSession.createDataFrame([], f"x {item_type}").schema[0].dataType)
     shared = docs.sparkSession.sparkContext.broadcast(bench)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -240,7 +261,7 @@ def contaminated(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text
             at = [d for d, _ in rows]
             ids = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([m[0] for _, m in rows], pa.string() if item_type == "string" else pa.int64()), pa.array([m[1] for _, m in rows], pa.float64()), pa.array([m[2] for _, m in rows], pa.int32())],
+                [ids, pa.array([m[0] for _, m in rows], item_arrow), pa.array([m[1] for _, m in rows], pa.float64()), pa.array([m[2] for _, m in rows], pa.int32())],
                 names=["id", "item_id", "coverage", "changed_slots"],
             )
 
@@ -258,8 +279,12 @@ def found_in(bench: Benchmark, column: pa.Array) -> list[tuple[int, tuple]]:
     return [(d, m) for d in keep for m in bench.matches(column[d].as_py())]
 
 
-def drop_contaminated(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: Benchmark | list[Benchmark], text_col: str = "text") -> DataFrame:
     """Rows that hold no item, with exactly their own columns."""
+    if isinstance(bench, list):
+        for one in bench:
+            docs = drop_contaminated(docs, one, text_col)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(bench)
     at = docs.columns.index(text_col)
 
@@ -274,5 +299,5 @@ def drop_contaminated(docs: DataFrame, bench: Benchmark, text_col: str = "text")
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = contaminated(docs, load(table(spark, sf_dir, "benchmark")))
+    found = contaminated(docs, load_blocks(table(spark, sf_dir, "benchmark")))
     return found.withColumnRenamed("id", "doc_id")

@@ -4,6 +4,12 @@ Each language gets a binary codeword; one binary n-gram classifier per bit tells
 languages with a 1 from those with a 0.  Decoding sums a logistic loss over bits, weighted
 by how well each bit did on its training sample, and takes the nearest codeword; a small
 gap to the second codeword flags ambiguity.
+
+Whole texts are read, in groups of whole documents.  A null or empty text, or one without letters, is
+``und`` with score 0; so is every text when no language is labelled.  With one language all others
+are that one.  Rows with a null id or language are not learned from; repeated rows are predicted alike and a
+repeated id is learned from once for each of its rows; ties between codewords go to the first language by
+name.  An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import held_out, table, written
 from .textkernels import LOWER, byte_ngrams, groups
 from .training import labelled_sample, platt, sigmoid
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 2000
-MAX_LANGUAGES = 256
+LANGUAGES_AT_ONCE = 64  # whose counts are on the driver together
 FOLDS, HELD = 4, 2
 SMOOTHING = 0.5
 AMBIGUOUS_BELOW = 0.9
@@ -43,11 +49,12 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
         return np.array(columns, dtype=np.int8).T
     rng, width = np.random.default_rng(seed), math.ceil(10 * math.log2(n))
     best = None
-    for _ in range(200):
+    for _ in range(max(3, 200 * 64 // max(n, 64))):
         code = rng.integers(0, 2, (n, width), dtype=np.int8)
         code[0, code.sum(axis=0) == 0] = 1
         code[0, code.sum(axis=0) == n] = 0
-        gap = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        signs = 2.0 * code - 1
+        gap = (width - (signs @ signs.T - 2 * width * np.eye(n)).max()) / 2  # least distance of two rows
         if best is None or gap > best[0]:
             best = (gap, code)
     return best[1]
@@ -89,6 +96,8 @@ class Model:
 
     def decode(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         langs, scores, doubts = [], [], []
+        if not self.languages:
+            return ["und"] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
         for _, _, data, offsets in groups(column):
             z = self.slope * self.margins(data, offsets) + self.offset
             sign = 2.0 * self.code - 1.0
@@ -96,14 +105,14 @@ class Model:
             p = np.exp(loss.min(axis=1, keepdims=True) - loss)
             p /= p.sum(axis=1, keepdims=True)
             best, known = p.argmax(axis=1), has_letters(data, offsets)
-            langs += [self.languages[b] if k and self.languages else "und" for b, k in zip(best, known)]
+            langs += [self.languages[b] if k else "und" for b, k in zip(best, known)]
             scores.append(np.where(known, p[np.arange(len(p)), best], 0.0))
             doubts.append(known & (scores[-1] < AMBIGUOUS_BELOW))
         return langs, np.concatenate(scores or [np.zeros(0)]), np.concatenate(doubts or [np.zeros(0, bool)])
 
 
 def fit(sample: DataFrame, languages: list[str]) -> Model:
-    """``sample`` holds ``text`` and language ``y``; counts of at most ``MAX_LANGUAGES`` x 2**16 n-grams reach the driver."""
+    """``sample`` holds ``text`` and language ``y``.  The driver holds one weight a bit and n-gram, and counts of a few languages at a time."""
     index = {x: i for i, x in enumerate(languages)}
     code = codewords(len(languages))
     if len(languages) < 2:
@@ -123,12 +132,18 @@ def fit(sample: DataFrame, languages: list[str]) -> Model:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["y", "f", "c"])
 
-    got = sample.select("y", "text").mapInArrow(count, "y int, f int, c long").groupBy("y", "f").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros((len(languages), 1 << BITS))
-    counts[got["y"].to_numpy(), got["f"].to_numpy()] = got["c"].to_numpy()
-    share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
+    found = written(sample.select("y", "text").mapInArrow(count, "y int, f int, c long").groupBy("y", "f").agg(F.sum("c").alias("c")), "language-counts")
     on, off = code.T.astype(float), 1.0 - code.T
-    weights = np.log((on @ share) / on.sum(axis=1, keepdims=True)) - np.log((off @ share) / off.sum(axis=1, keepdims=True))
+    side_on, side_off = np.zeros((len(on), 1 << BITS)), np.zeros((len(on), 1 << BITS))
+    for first in range(0, len(languages), LANGUAGES_AT_ONCE):
+        got = found.where(F.col("y").between(first, first + LANGUAGES_AT_ONCE - 1)).toArrow()
+        counts = np.zeros((min(LANGUAGES_AT_ONCE, len(languages) - first), 1 << BITS))
+        counts[got["y"].to_numpy() - first, got["f"].to_numpy()] = got["c"].to_numpy()
+        share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
+        own = slice(first, first + len(share))
+        side_on += on[:, own] @ share
+        side_off += off[:, own] @ share
+    weights = np.log(side_on / on.sum(axis=1, keepdims=True)) - np.log(side_off / off.sum(axis=1, keepdims=True))
     bits = code.shape[1]
     model = Model(languages, code, np.ascontiguousarray(weights.T.astype(np.float32)), np.ones(bits), np.zeros(bits), np.ones(bits))
 
@@ -147,11 +162,10 @@ def fit(sample: DataFrame, languages: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Languages are the (at most ``MAX_LANGUAGES`` most frequent) non-null values outside the held-out fold."""
+    """Languages are all non-null values outside the held-out fold; one row each reaches the driver."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = base.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD))
-    top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in top.collect())
+    languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
     sample = labelled_sample(base.select("doc_id", "text"), usable.select("doc_id", "lang"), "doc_id", "lang", languages, PER_LANGUAGE) if languages else None
     return fit(sample, languages)
 

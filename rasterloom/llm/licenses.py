@@ -104,7 +104,8 @@ def scan(files: DataFrame, path_col: str, text_col: str, is_licence_file: Column
     One row per input row, repeated rows too.  Null and empty texts state nothing; a null path
     inherits nothing.  A file is a licence file when ``is_licence_file`` holds (by default by
     its name) and it states a licence; of several in a directory the best score counts, then the
-    first path, then the first name.  Input columns of the added names are replaced.
+    first path, then the first name; of a text's own lines the best score, then the first line, then the first
+    name.  Whole texts are read.  An empty table gives no rows.  Input columns of the added names are replaced.
     """
     added = ("own_licence", "own_score", "inherited_licence", "inherited_from", "licence")
     files = files.drop(*(c for c in files.columns if c.lower() in added and c not in (path_col, text_col)))

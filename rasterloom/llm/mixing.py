@@ -89,17 +89,19 @@ def default_weights(counts: dict) -> dict:
 
 
 def numbered(docs: DataFrame, id_col: str, key: str, block: int, plan: DataFrame) -> tuple[DataFrame, str, str]:
-    """``docs`` with a dense 0-based number within each ``key`` in hash order of the id.
+    """``docs`` with a dense 0-based number within each ``key`` in hash order of the row.
 
     A source is cut into hash buckets of about ``BUCKET_ROWS`` rows, counted, and offset by
-    running sums over the counts, so no task ever holds a whole source.  Equal ids are
-    numbered in any order among themselves.  A third column has the ``plan`` (key, k, r, d, s) of
+    running sums over the counts, so no task ever holds a whole source unless its rows are equal in
+    every column.  A third column has the ``plan`` (key, k, r, d, s) of
     the row's block; it comes with the bucket, so rows are shuffled once.
     """
     bucket, before, number, order, slots, own = unused(docs, "bucket", "before", "number", "order", "bucket_plan", "own_plan")
     sizes = docs.groupBy(key).agg(F.count("*").alias("n"))
     buckets = max(1, math.ceil((sizes.agg(F.max("n")).first()[0] or 1) / BUCKET_ROWS))
-    h = F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0))
+    # rows that repeat an id (or have none) are told apart by their other columns; equal rows are interchangeable
+    others = [c for c in docs.columns if c not in (id_col, key)]
+    h = F.xxhash64(F.col(id_col), *others)
     spread = F.floor((F.shiftrightunsigned(h, 33).cast("double") / float(1 << 31)) * buckets).cast("long")
     docs = docs.withColumn(order, h).withColumn(bucket, spread)
     counts = written(docs.groupBy(key, bucket).agg(F.count("*").alias("n")), "source-buckets")
@@ -108,7 +110,7 @@ def numbered(docs: DataFrame, id_col: str, key: str, block: int, plan: DataFrame
     spans = offsets.select(key, bucket, before, F.explode(F.sequence(F.floor(F.col(before) / block).cast("long"), F.floor((F.col(before) + F.col("n") - 1) / block).cast("long"))).alias("k"))
     # about BUCKET_ROWS / block entries each
     offsets = spans.join(plan, [key, "k"]).groupBy(key, bucket, before).agg(F.array_sort(F.collect_list(F.struct("k", "r", "d", "s"))).alias(slots))
-    within = Window.partitionBy(key, bucket).orderBy(order, F.col(id_col))
+    within = Window.partitionBy(key, bucket).orderBy(order, F.col(id_col), F.xxhash64(F.lit(1), *others) if others else F.lit(0))
     ranked = docs.withColumn(number, F.row_number().over(within) - 1)
     joined = ranked.join(offsets, [key, bucket]).withColumn(number, (F.col(number) + F.col(before)).cast("long"))
     at = F.floor(F.col(number) / block) - F.floor(F.col(before) / block) + 1
@@ -153,6 +155,11 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     ``weights`` maps source values (None for null) to relative targets; sources it leaves out
     follow every scheduled one, one block after another in slots past the schedule's end.  Every
     row is returned.  A source without rows left leaves its slots empty.
+
+    Only ids and sources decide, texts pass as they are.  A null source is one of its own; null and
+    repeated ids are ordered by their other columns, so a run over the same rows gives the same slots (rows
+    equal in every column trade places).  Ties of deadlines go to the first source by name.  An empty table
+    gives no rows; columns named like the added ones are replaced.
     """
     added = ("block", "release", "deadline", "slot", "place")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in added))

@@ -3,6 +3,11 @@
 Binary indicators of byte n-grams and word-shape n-grams are scaled by class log-count
 ratios; a linear hinge-loss model is fitted on the scaled indicators by dual coordinate
 descent, and its margin is calibrated to a probability.
+
+Whole texts are read, in groups of whole documents; null text is empty text and has features of none, so all empty
+texts score alike.  Rows with a null id or label are not learned from, a repeated id takes its largest
+label; repeated rows score alike.  With fewer than two classes every score is the smoothed class share.  An
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -83,7 +88,33 @@ class Model:
         return sigmoid(self.slope * self.margins(column) + self.offset)
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def packed(f: np.ndarray) -> bytes:
+    """Feature indices as numbers, or as a bitmap where that is smaller: at most 2**BITS / 8 bytes."""
+    if 4 * len(f) < (1 << BITS) // 8:
+        return f.astype(np.int32).tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[f] = True
+    return np.packbits(bits).tobytes()
+
+
+class Sample:
+    """Feature indices per row, unpacked when asked for: a sample takes at most 2 x PER_CLASS x 2**BITS / 8 bytes."""
+
+    def __init__(self, data: list[bytes]) -> None:
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        b = self.data[i]
+        return np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))).astype(np.int32) if len(b) == (1 << BITS) // 8 else np.frombuffer(b, np.int32)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[i] for i in range(len(self.data)))
+
+
+def log_count_ratios(rows: Sample | list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """ln of the ratio of smoothed, normalised indicator counts of class 1 to class 0."""
     counts = np.full((2, 1 << BITS), SMOOTHING)
     for f, label in zip(rows, y):
@@ -100,13 +131,13 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.array([(y == c).sum() for c in (0, 1)], dtype=float)
     cap = COST * len(y) / (2 * share[y.astype(int)])
-    values = [scale[f] / np.sqrt(len(f) + 1.0) for f in rows]
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+    norm = np.array([float((scale[f] ** 2).sum()) / (len(f) + 1.0) + 1.0 for f in rows])
     alpha, w, bias, rng = np.zeros(len(y)), np.zeros(len(scale)), 0.0, np.random.default_rng(seed)
     for _ in range(EPOCHS):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            f, v = rows[i], values[i]
+            f = rows[i]
+            v = scale[f] / np.sqrt(len(f) + 1.0)
             gradient = sign[i] * (float(w[f] @ v) + bias) - 1.0
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cap[i])
             change = (new - alpha[i]) * sign[i]
@@ -125,20 +156,20 @@ def fit(sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [f.astype(np.int32).tobytes() for _, _, data, offsets in groups(batch.column(2)) for f in features(data, offsets)]
+            rows = [packed(f) for _, _, data, offsets in groups(batch.column(2)) for f in features(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["id", "y", "f"])
 
     kind = sample.schema[id_col].dataType.simpleString()
     got = sample.select(id_col, "y", text_col).mapInArrow(extract, f"id {kind}, y int, f binary").toArrow().sort_by("id")
     y = got["y"].to_numpy()
-    rows = [np.frombuffer(b.as_py(), dtype=np.int32) for b in got["f"]]
+    rows = Sample([b.as_py() for b in got["f"]])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
     scale = log_count_ratios(rows, y)
     # the calibration part is left out of the support vectors that calibrate
     part = np.random.default_rng(11).random(len(y)) < CALIBRATION_SHARE
     if len(set(y[~part].tolist())) == 2 and len(set(y[part].tolist())) == 2:
-        inner = [rows[i] for i in np.flatnonzero(~part)]
+        inner = Sample([rows.data[i] for i in np.flatnonzero(~part)])
         w, b = dual_coordinate_descent(inner, log_count_ratios(inner, y[~part]), y[~part])
         margin = np.array([float(w[rows[i]].sum()) / np.sqrt(len(rows[i]) + 1.0) + b for i in np.flatnonzero(part)])
         slope, offset = platt(margin, y[part])

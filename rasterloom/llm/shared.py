@@ -2,62 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom import session
+
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
-_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="rasterloom-shared-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return session.written(df, label)
 
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        for item in [x for x in _written if x[1].rsplit("/", 1)[1] in name]:
-            _remove(spark, item[1])
-            _written.remove(item)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+    session.forget(df)
 
 
 def ascii_lower(text: Column) -> Column:

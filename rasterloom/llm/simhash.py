@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, unused, written
+from .shared import forget, table, unused, written
 
 SEED = 42
 SHINGLE = 4
@@ -94,7 +94,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct()
-        edges = written(small, f"{label}-star")
+        before, edges = edges, written(small, f"{label}-star")
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("b").alias("fp"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("fp"), F.col("a").alias("root")).distinct())
@@ -133,8 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, fp, component_id)`` per row: the least id reachable over links of at most 4 bits.
 
     Rows with no words have fingerprint zero and link like any other; null text is empty.
-    A null id is never the least unless its component has no other.  Repeated rows keep one
-    row each.  Column names of the input do not matter beyond ``id_col`` and ``text_col``.
+    A null id is never the least unless its component has no other.  Repeated rows and ids keep one
+    row each; ties of fingerprints are links of 0 bits.  Whole texts count, in chunks of shingles.  An empty
+    table gives no rows.  Column names of the input do not matter beyond ``id_col`` and ``text_col``.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
@@ -159,11 +161,34 @@ def _spread_join(prints: DataFrame, by_print: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep the document of each component whose id is its least; other columns pass unchanged.
 
-    Of rows that repeat that id, all but one go too when their texts are equal; ids are taken as keys.
+    Rows that repeat both id and fingerprint stay or go together.  An id that stands for several
+    fingerprints is judged by each: a unique text is not lost to a copy that shares its id.  Null ids stay only
+    in a component without any other id.
     """
+    name, print_name = unused(docs, "dropped_id", "fingerprint")
     found = near_duplicates(docs, id_col, text_col)
-    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(unused(docs, "dropped_id")[0])).distinct()
-    return docs.join(drop, docs[id_col] == drop[drop.columns[0]], "left_anti")
+    drop = written(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(name), F.col("fp").alias(print_name)).distinct(), "dropped-ids")
+    several = found.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias(name))
+    several = written(several, "ambiguous-ids")
+    same = docs[id_col].eqNullSafe(drop[name])
+    if several.isEmpty():  # ids are keys
+        return docs.join(drop, same, "left_anti")
+    ambiguous = docs[id_col].eqNullSafe(several[name])
+    plain = docs.join(several, ambiguous, "left_anti")
+    marked = _with_fingerprint(docs.join(several, ambiguous, "left_semi"), text_col, print_name)
+    kept = marked.join(drop, marked[id_col].eqNullSafe(drop[name]) & (marked[print_name] == drop[print_name]), "left_anti")
+    return plain.join(drop, plain[id_col].eqNullSafe(drop[name]), "left_anti").unionByName(kept.drop(print_name))
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.schema.add(name, "long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,8 @@ def count_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, n_tokens, n_edits, n_tokens_edited, n_reencoded)`` per row; null text is empty with no tokens.
 
     ``edits`` maps a text to its edits.  ``n_reencoded`` counts the pre-tokens encoded anew.
-    Rows are independent: repeated rows, null ids and extra columns need no care.
+    Rows are independent: repeated rows, null ids and extra columns need no care, nothing is ranked, so there are
+    no ties.  Whole texts are counted, a long one in one tree.  An empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, under 1 MB

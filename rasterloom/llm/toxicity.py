@@ -6,6 +6,11 @@ in a segment, and again in a later one.  Every other token costs a fixed penalty
 document; extreme-value statistics (the chance that a clean text of that length holds such
 a segment) turn scores into evidence, which is summed over significant segments and
 calibrated to a probability.
+
+Whole texts are read, in groups of whole documents; a null or empty text has no segment and the score of
+that.  Rows with a null id or label are not learned from and a repeated id takes its largest label;
+repeated rows score alike; of equal segments the first is reported.  Without toxic labels nothing has
+evidence.  An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +32,10 @@ PER_CLASS = 10_000  # training rows of a class
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8, 10)
-PRIOR = 1.0  # Dirichlet mass of a feature, split by the background
+PRIOR = 1.0  # symmetric Dirichlet mass: documents added to each class with and without a feature
 BOUND = 1.64  # standard errors below the estimate
 MIN_DOCS = 3  # documents of the toxic class that must hold a feature
 PENALTY = 1.0
-MAX_FEATURES = 200_000
 SIGNIFICANT = 0.05
 
 LETTER = np.zeros(256, dtype=bool)
@@ -202,10 +206,11 @@ def fit_log_odds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = sample.select("y", "text").mapInArrow(count, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = max(size.get(0, 0), 1), max(size.get(1, 0), 1)
-    # prior mass PRIOR per feature in either class, in document shares
+    # posterior log-odds of holding the feature, under the symmetric prior in either class
     odds = F.log((F.col("n1") + PRIOR) / (n1 + 2 * PRIOR)) - F.log((F.col("n0") + PRIOR) / (n0 + 2 * PRIOR))
     error = F.sqrt(1 / (F.col("n1") + PRIOR) + 1 / (F.col("n0") + PRIOR))
-    top = counts.where(F.col("n1") >= MIN_DOCS).select("h", (odds - BOUND * error).alias("g")).where("g > 0").orderBy(F.desc("g"), "h").limit(MAX_FEATURES).toArrow()
+    # features of the bounded sample: those in few toxic documents never reach the driver
+    top = counts.where(F.col("n1") >= MIN_DOCS).select("h", (odds - BOUND * error).alias("g")).where("g > 0").toArrow()
     keys = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], top["g"].to_numpy()[order]
@@ -249,7 +254,7 @@ def extreme_value(clean: list[tuple[float, float]]) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, n_segments, first_from, first_to)``; offsets are bytes of the strongest significant segment."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES keys
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 bytes a positive feature of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

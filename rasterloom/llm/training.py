@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import unused
 
@@ -17,10 +18,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     """
     y = unused(docs, "y")[0]
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(y))
-    picked = None
-    for value in classes:
-        some = known.where(F.col(y) == value).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
-        picked = some if picked is None else picked.union(some)
+    first = Window.partitionBy(y).orderBy(F.xxhash64(id_col), id_col)
+    # each task keeps its own first rows of a class before the shuffle, so a common class meets in small parts
+    picked = known.where(F.col(y).isin(classes)).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_class).drop("_rank")
     return docs.join(F.broadcast(picked), id_col)
 
 
