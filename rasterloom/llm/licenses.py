@@ -15,11 +15,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, table, unused
+from .shared import ascii_lower, table, unused, written
 
 THRESHOLD = 0.6
 BROADCAST_DIRECTORIES = 100_000
 SALTS = 32
+SHORT, SHORTER, NOTICE = 1000, 500, 2000  # characters: of the query's folders, and of a text that may be a licence notice
 # fixed values: licence templates, shortened to their identifying sentence
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -57,13 +58,14 @@ def header_lines(text: Column) -> Column:
     return F.when(F.lower(text).rlike(ANCHORS), F.filter(F.split(broken, "\n"), lambda x: x.rlike(ANCHORS))).otherwise(F.array().cast("array<string>"))
 
 
-def line_terms(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, NOT_TERM), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
+def line_terms(line: Column, words: Column | None = None) -> Column:
+    return F.filter(F.transform(F.split(line, NOT_TERM) if words is None else words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """Rows, and rows whose text holds each template term: one aggregate over all rows."""
-    held = F.array_intersect(line_terms(ascii_lower(F.col(text_col))), _strings(VOCABULARY))
+    low = ascii_lower(F.col(text_col))
+    held = F.array_intersect(line_terms(low, F.array_distinct(F.split(low, NOT_TERM))), _strings(VOCABULARY))
     counts = [F.coalesce(F.sum(F.array_contains("held", t).cast("long")), F.lit(0)).alias(f"t{k}") for k, t in enumerate(VOCABULARY)]
     row = docs.select(held.alias("held")).agg(F.count("*").alias("n"), *counts).first()
     return row["n"], {t: row[f"t{k}"] for k, t in enumerate(VOCABULARY)}
@@ -131,7 +133,8 @@ def scan(files: DataFrame, path_col: str, text_col: str, is_licence_file: Column
     prefix = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     ancestors = rows.where(F.col(where).isNotNull()).select(F.col(where).alias("d")).distinct().select(F.col("d").alias("child"), F.explode(F.array_distinct(prefix)).alias("d"))
     nearest = ancestors.join(declared, "d").groupBy("child").agg(F.max_by(F.struct("d", "l"), F.length("d")).alias("x"))
-    nearest = nearest.select(F.col("child").alias(where), F.col("x.l").alias("inherited_licence"), F.col("x.d").alias("inherited_from"))
+    # written: the texts are scored once for it and once for the result
+    nearest = written(nearest.select(F.col("child").alias(where), F.col("x.l").alias("inherited_licence"), F.col("x.d").alias("inherited_from")), "nearest-licences")
     if nearest.count() <= BROADCAST_DIRECTORIES:
         out = rows.join(F.broadcast(nearest), where, "left")
     else:  # a directory may hold a third of all files
@@ -142,15 +145,18 @@ def scan(files: DataFrame, path_col: str, text_col: str, is_licence_file: Column
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, at path source/lang/id.
+    """All documents in folders of three depths: the shortest texts at source, short ones at source/lang, the rest at source/lang/digits of their length.
 
-    The tables hold no licence files; a document of ``source`` whose id is divisible by 8 stands for its
-    directory's licence file when it states a licence.
+    The tables hold no licence files; a text of at most ``NOTICE`` characters that states a licence stands for
+    the licence file of its folder and of those below it.
     """
     docs = table(spark, sf_dir, "documents")
-    lang = F.coalesce("lang", F.lit("none"))
-    files = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("none")), lang, F.col("doc_id").cast("string")).alias("path"))
-    found = scan(files, "path", "text", F.col("doc_id") % 8 == 0)
+    size = F.length(F.coalesce("text", F.lit("")))
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    deep = F.concat(F.lit("n"), F.length(size.cast("string")).cast("string"))
+    folder = F.when(size <= SHORTER, source).when(size <= SHORT, F.concat_ws("/", source, lang)).otherwise(F.concat_ws("/", source, lang, deep))
+    files = docs.select("doc_id", "text", F.concat_ws("/", folder, F.col("doc_id").cast("string")).alias("path"))
+    found = scan(files, "path", "text", size <= NOTICE)
     return found.select("doc_id", "own_licence", "own_score", "inherited_licence", "inherited_from", "licence")
 
 
@@ -161,9 +167,11 @@ def _values(rows: list[str]) -> str:
 ORACLE = f"""
 WITH vec(name, term, tf) AS (VALUES {_values([f"('{n}', '{t}', {c})" for n, v in VECTORS.items() for t, c in v.items()])}),
 voc AS (SELECT DISTINCT term FROM vec),
-low AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir,
-    coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path,
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+placed AS (SELECT *, length(coalesce(text, '')) AS size, CASE WHEN length(coalesce(text, '')) <= {SHORTER} THEN coalesce(source, 'none')
+    WHEN length(coalesce(text, '')) <= {SHORT} THEN coalesce(source, 'none') || '/' || coalesce(lang, 'none')
+    ELSE coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/n' || length(CAST(length(text) AS VARCHAR)) END AS dir FROM documents),
+low AS (SELECT doc_id, dir, size, dir || '/' || doc_id AS path,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM placed),
 held AS (SELECT DISTINCT doc_id, regexp_replace(w, '^[.-]+|[.-]+$', '', 'g') AS term
     FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '{NOT_TERM}')) AS w FROM low)),
 idf AS (SELECT voc.term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(held.doc_id))) + 1.0 AS idf
@@ -180,10 +188,11 @@ cosines AS (SELECT doc_id, line, name, round(sum(n * idf * tf * idf) / min(nl *
     FROM words JOIN idf USING (term) JOIN vec USING (term) JOIN norms USING (line) JOIN tnorm USING (name) GROUP BY doc_id, line, name),
 best AS (SELECT doc_id, name, score FROM cosines WHERE score >= {THRESHOLD}
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, name) = 1),
-own AS (SELECT low.doc_id, dir, path, name, score FROM low LEFT JOIN best USING (doc_id)),
-declared AS (SELECT dir, name FROM own WHERE doc_id % 8 = 0 AND name IS NOT NULL
+own AS (SELECT low.doc_id, dir, size, path, name, score FROM low LEFT JOIN best USING (doc_id)),
+declared AS (SELECT dir, name FROM own WHERE size <= {NOTICE} AND name IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, name) = 1)
-SELECT doc_id, own.name AS own_licence, score AS own_score, declared.name AS inherited_licence,
-    declared.dir AS inherited_from, coalesce(own.name, declared.name) AS licence
-FROM own LEFT JOIN declared ON own.dir = declared.dir
+SELECT doc_id, own.name AS own_licence, score AS own_score, coalesce(a.name, b.name, c.name) AS inherited_licence,
+    coalesce(a.dir, b.dir, c.dir) AS inherited_from, coalesce(own.name, a.name, b.name, c.name) AS licence
+FROM own LEFT JOIN declared a ON own.dir = a.dir LEFT JOIN declared b ON regexp_replace(own.dir, '/[^/]*$', '') = b.dir AND own.dir <> b.dir
+LEFT JOIN declared c ON regexp_replace(own.dir, '/[^/]*/[^/]*$', '') = c.dir AND own.dir <> c.dir
 """
