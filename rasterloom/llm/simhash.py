@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import forget, table, unused, written
 
@@ -188,7 +189,7 @@ def _with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "long"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
