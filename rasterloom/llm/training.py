@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 from .shared import unused
 
 
+PARTS = 64  # of a class, ranked apart first
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, classes: list, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled rows of each class, in hash order of the id: columns of ``docs`` plus ``y``.
 
@@ -18,9 +21,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     """
     y = unused(docs, "y")[0]
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(y))
-    first = Window.partitionBy(y).orderBy(F.xxhash64(id_col), id_col)
-    # each task keeps its own first rows of a class before the shuffle, so a common class meets in small parts
-    picked = known.where(F.col(y).isin(classes)).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_class).drop("_rank")
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    known = known.where(F.col(y).isin(classes)).withColumn("_part", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(PARTS)))
+    # the first rows of each part of a class, then of the class: no task meets a whole class
+    for keys in ([y, "_part"], [y]):
+        known = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= per_class).drop("_rank")
+    picked = known.drop("_part")
     return docs.join(F.broadcast(picked), id_col)
 
 
