@@ -304,7 +304,7 @@ QUERIES = {
     "gnss_los": _gnss,
     "station_window": _windows,
     "fit_metrics": lambda spark, sf_dir: fit_metrics(_two_types(spark, sf_dir), "user_id").select("user_id", "n", *[r6(F.col(c), c) for c in _FIT], "sign_agrees"),
-    "interval_score": lambda spark, sf_dir: interval_scores(_residuals(spark, sf_dir), ["burst", "method"]).select("burst", "method", "level", "evaluated", "abstained", *[r6(F.col(c), c) for c in _SCORES]),
+    "interval_score": lambda spark, sf_dir: interval_scores(_residuals(spark, sf_dir), ["burst", "method"]).select("burst", "method", "level", "evaluated", "abstained", *[(F.round(c, 8) + 0.0).alias(c) for c in _SCORES])  # quarters of scores are exact there, no halves to round,
     "burst_scale": lambda spark, sf_dir: burst_scale(_residuals(spark, sf_dir).where("method = 'crlb_only'"), "burst").select("burst", r6(F.col("scale"), "scale")),
     "cohort_score": lambda spark, sf_dir: cohort_score(_residuals(spark, sf_dir)).select("burst", "method", *[r6(F.col(c), c) for c in ("scale", "score", "calibrated_score")]),
     "haversine_pairs": lambda spark, sf_dir: station_pairs(_stations(spark, sf_dir), 1.0, 30.0).select("a", "b", r6(F.col("km"), "km")),
@@ -338,7 +338,7 @@ SELECT station, CASE WHEN ok AND n >= 6 THEN round(m, 6) + 0.0 END AS mean, CASE
  avg(truth*estimate) - avg(truth)*avg(estimate) AS cxy, arg_max(truth, t) AS te, arg_max(estimate, t) AS ee FROM p GROUP BY 1 HAVING count(*) >= 3),
 m AS (SELECT *, cxy/sqrt(vx*vy) AS correlation, cxy/vx AS ols_slope, my - cxy/vx*mx AS ols_intercept, {_TLS("vx", "vy", "cxy")} AS tls_slope, ee - te AS endpoint_residual FROM g), k AS (SELECT *, my - tls_slope*mx AS tls_intercept FROM m)
 SELECT user_id, n, {_R(*_FIT)}, sign(te) = sign(ee) AND te <> 0 AS sign_agrees FROM k""",
-    "interval_score": f"""WITH {_RES}, s AS ({_SCORED("r", _ALL)}) SELECT burst, method, level, evaluated, CAST(0 AS BIGINT) AS abstained, round(coverage, 6) + 0.0 AS coverage, round(abs(coverage - nominal), 6) + 0.0 AS coverage_error, {_R("width", "score")} FROM s""",
+    "interval_score": f"""WITH {_RES}, s AS ({_SCORED("r", _ALL)}) SELECT burst, method, level, evaluated, CAST(0 AS BIGINT) AS abstained, round(coverage, 8) + 0.0 AS coverage, round(abs(coverage - nominal), 8) + 0.0 AS coverage_error, round(width, 8) + 0.0 AS width, round(score, 8) + 0.0 AS score FROM s""",
     "burst_scale": f"""WITH {_RES}, q AS (SELECT burst, abs(residual) / ({Z90} * sigma) AS v, row_number() OVER (PARTITION BY burst ORDER BY abs(residual) / ({Z90} * sigma)) - 1 AS k, count(*) OVER (PARTITION BY burst) AS n FROM r WHERE method = 'crlb_only')
 SELECT burst, round(v, 6) + 0.0 AS scale FROM q WHERE n >= 3 AND k = ceil(round({NOMINAL} * (n - 1), 9))""",
     "haversine_pairs": f"""WITH s AS (SELECT c_custkey AS id, 30 + ((c_custkey * 37) % 101) * 0.05 AS lat, -120 + ((c_custkey * 53) % 103) * 0.06 AS lon FROM customer),
