@@ -304,7 +304,7 @@ QUERIES = {
     "gnss_los": _gnss,
     "station_window": _windows,
     "fit_metrics": lambda spark, sf_dir: fit_metrics(_two_types(spark, sf_dir), "user_id").select("user_id", "n", *[r6(F.col(c), c) for c in _FIT], "sign_agrees"),
-    "interval_score": lambda spark, sf_dir: interval_scores(_residuals(spark, sf_dir), ["burst", "method"]).select("burst", "method", "level", "evaluated", "abstained", *[(F.round(c, 8) + 0.0).alias(c) for c in _SCORES])  # quarters of scores are exact there, no halves to round,
+    "interval_score": lambda spark, sf_dir: interval_scores(_residuals(spark, sf_dir), ["burst", "method"]).select("burst", "method", "level", "evaluated", "abstained", *[(F.round(c, 8) + 0.0).alias(c) for c in _SCORES]),  # no halves to round there
     "burst_scale": lambda spark, sf_dir: burst_scale(_residuals(spark, sf_dir).where("method = 'crlb_only'"), "burst").select("burst", r6(F.col("scale"), "scale")),
     "cohort_score": lambda spark, sf_dir: cohort_score(_residuals(spark, sf_dir)).select("burst", "method", *[r6(F.col(c), c) for c in ("scale", "score", "calibrated_score")]),
     "haversine_pairs": lambda spark, sf_dir: station_pairs(_stations(spark, sf_dir), 1.0, 30.0).select("a", "b", r6(F.col("km"), "km")),
