@@ -11,6 +11,7 @@ from .shared import unused
 
 
 PARTS = 64  # of a class, ranked apart first
+FEW_CLASSES = 16
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, classes: list, per_class: int) -> DataFrame:
@@ -22,11 +23,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     y = unused(docs, "y")[0]
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(y))
     order = [F.xxhash64(id_col), F.col(id_col)]
-    known = known.where(F.col(y).isin(classes)).withColumn("_part", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(PARTS)))
-    # the first rows of each part of a class, then of the class: no task meets a whole class
-    for keys in ([y, "_part"], [y]):
-        known = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= per_class).drop("_rank")
-    picked = known.drop("_part")
+    if len(classes) <= FEW_CLASSES:  # a top-k each: a task hands on no more rows than are wanted
+        picked = None
+        for value in classes:
+            some = known.where(F.col(y) == value).orderBy(*order).limit(per_class)
+            picked = some if picked is None else picked.union(some)
+    else:  # the same rows: the first of each part of a class, then of the class, so no task meets a whole class
+        known = known.where(F.col(y).isin(classes)).withColumn("_part", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(PARTS)))
+        for keys in ([y, "_part"], [y]):
+            known = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= per_class).drop("_rank")
+        picked = known.drop("_part")
     return docs.join(F.broadcast(picked), id_col)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid, quality, toxicity
+from rasterloom.llm import langid, quality, toxicity, training
 from rasterloom.llm.textkernels import groups
 from rasterloom.llm.training import labelled_sample
 
@@ -89,13 +89,17 @@ def test_more_languages_than_any_fixed_number(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
 
 
-def test_labelled_sample_is_bounded_and_stratified(spark):
+@pytest.mark.parametrize("few", [16, 1])
+def test_labelled_sample_is_bounded_and_stratified(spark, monkeypatch, few):
+    monkeypatch.setattr(training, "FEW_CLASSES", few)
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(300)] + [(5, 1), (None, 1), (6, None)], "doc_id long, y0 int")
     got = labelled_sample(docs, labels, "doc_id", "y0", [0, 1], 25).collect()
     assert sorted(r["y"] for r in got) == [0] * 25 + [1] * 25 and all(r["y"] == 1 for r in got if r["doc_id"] == 5)
     again = labelled_sample(docs.repartition(5), labels.repartition(7), "doc_id", "y0", [0, 1], 25).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in again}
+    monkeypatch.setattr(training, "FEW_CLASSES", 17 - few)
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in labelled_sample(docs, labels, "doc_id", "y0", [0, 1], 25).collect()}
 
 
 @pytest.mark.parametrize("module,modulus,remainder,label,at", [(toxicity, 3, 1, "toxic", 0.7), (quality, 5, 0, "quality", 0.3)])
