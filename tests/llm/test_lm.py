@@ -77,8 +77,7 @@ def test_words_outside_the_dictionary_come_from_the_filter(spark, monkeypatch):
     same(got, plain(TEXTS, NEW, lambda c: c >= least))
 
 
-@pytest.mark.parametrize("limit", [1 << 16, 1 << 12, 0])
-@pytest.mark.parametrize("hot", [3000, 1 << 19])
+@pytest.mark.parametrize("limit,hot", [(1 << 16, 1 << 19), (1 << 12, 3000), (0, 3000)])
 def test_no_count_is_dropped_past_the_filter_bound(spark, monkeypatch, limit, hot):
     monkeypatch.setattr(lm, "MAX_FILTER_BYTES", limit)
     monkeypatch.setattr(lm, "HOT_WORDS", hot)
