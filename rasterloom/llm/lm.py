@@ -43,6 +43,8 @@ FOLDS, HELD = 7, 2
 HOT_WORDS = 1 << 19  # entries of the exact dictionary that is broadcast, 16 bytes each
 MAX_FILTER_BYTES = 192 << 20
 SHARD_BYTES = 8 << 20  # of text for a shard of the filter
+MAX_TASKS = 20_000  # that build the filter
+BATCH_BYTES = 4 << 20  # of rows that a Python worker gets at once; Spark's default is 64 MB, and the buffers double as they grow
 MERGE_AT = 2_000_000  # keys a task holds before it merges and hands them on
 BACKOFF = 8.0
 EXCESS = 2.0**-5
@@ -53,6 +55,17 @@ PROBES = np.maximum(6, 16 - np.arange(CLASSES))  # of an entry's first level, by
 OPEN = {"pair": "long", "pair_q": "int", "word": "long", "word_q": "int", "word_c": "long", "context": "long", "context_q": "int", "context_c": "long"}
 
 
+def in_small_batches(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written` with Arrow batches of about ``BATCH_BYTES``; the session's setting is put back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return written(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def _token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words with one end after each document, and owners, in order."""
     words = Words(data, offsets)
@@ -292,7 +305,8 @@ def _unpacked(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nd
 def build_filter(docs: DataFrame, counts: DataFrame, lex: Lexicon, text_col: str = "text") -> tuple[int, DataFrame]:
     """``(shards, (shard, level, bits))``: the filter of all bigrams and of all words outside the dictionary, written.
 
-    Partial counts shuffle once, packed by shard; a task merges one shard at a time.
+    Partial counts shuffle once, packed by shard; a task merges one shard at a time.  Shards are dealt out
+    in turn, so a task reads one as long as there are fewer than ``MAX_TASKS``; a hash gives some tasks several.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -337,9 +351,9 @@ def build_filter(docs: DataFrame, counts: DataFrame, lex: Lexicon, text_col: str
 
     kind = "shard long, keys binary, counts binary"
     parts = docs.select(text_col).mapInArrow(pairs, kind).unionByName(counts.where(bucket(F.col("c")) < lex.bucket).select("h", "c").mapInArrow(words, kind))
-    tasks = min(max(8, shards), 20_000)
-    found = parts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, level int, bits binary")
-    return shards, written(found, "log-frequency-filter")
+    tasks = min(max(8, shards), MAX_TASKS)
+    found = parts.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard").mapInArrow(build, "shard long, level int, bits binary")
+    return shards, in_small_batches(found, "log-frequency-filter")
 
 
 @dataclass
@@ -385,7 +399,7 @@ def _high(q: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model, DataFrame | None]:
     """Exact word counts (a written table), the model, and the filter's lower levels if it is too large to broadcast."""
-    counts = written(word_counts(docs, text_col), "word-counts")
+    counts = in_small_batches(word_counts(docs, text_col), "word-counts")
     lex = lexicon(counts)
     shards, bits = build_filter(docs, counts, lex, text_col)
     sizes = sorted(((r["level"], r["n"]) for r in bits.groupBy("level").agg(F.sum(F.octet_length("bits")).alias("n")).collect()), reverse=True)
@@ -493,7 +507,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, low: DataFrame | Non
                 row += n
 
     schema = f"row long, id {kind}, n_tokens long, hot_known long, hot_score double, score double, rare array<long>, times array<int>, open array<struct<{', '.join(f'{x} {t}' for x, t in OPEN.items())}>>"
-    local = written(docs.select(id_col, text_col).mapInArrow(run, schema), "local-scores")
+    local = in_small_batches(docs.select(id_col, text_col).mapInArrow(run, schema), "local-scores")
     rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     joined = rare.join(counts.where(bucket(F.col("c")) < model.lex.bucket), "h", "left")
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import lm
 
@@ -88,6 +90,33 @@ def test_no_count_is_dropped_past_the_filter_bound(spark, monkeypatch, limit, ho
     same(got, plain(TEXTS, NEW, lambda c: c >= least))
 
 
+def test_workers_get_batches_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "m"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(key), spark.range(0, 300, 1, 1).selectExpr("repeat(concat(id, ' '), 40000) AS text")
+    got = lm.in_small_batches(docs.mapInArrow(sizes, "n long, m long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 300 and sum(r["m"] for r in got) > 5 * lm.BATCH_BYTES
+    assert max(r["m"] for r in got) < 1.1 * lm.BATCH_BYTES
+    assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("most,each", [(20_000, 1), (8, 5)])
+def test_a_task_builds_its_even_share_of_the_shards(spark, monkeypatch, most, each):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 13)
+    monkeypatch.setattr(lm, "MAX_TASKS", most, raising=False)
+    docs = frame(spark, TEXTS)
+    counts = lm.word_counts(docs)
+    shards, bits = lm.build_filter(docs, counts, lm.lexicon(counts))
+    held = {}
+    for r in bits.select("shard", F.input_file_name().alias("file")).distinct().collect():
+        held.setdefault(r["file"], set()).add(r["shard"])
+    assert shards > 30 and set().union(*held.values()) == set(range(shards))
+    assert max(map(len, held.values())) == -(-shards // min(max(8, shards), most)) <= each
+
+
 @pytest.mark.parametrize("hot", [300, 1 << 19])
 def test_every_context_sums_to_at_most_one(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT_WORDS", hot)
