@@ -19,6 +19,7 @@ from .shared import ascii_lower, table, unused, written
 
 THRESHOLD = 0.6
 BROADCAST_DIRECTORIES = 100_000
+FILES_A_PART = 1_000_000  # input files for each written part of the directories' table, which has a row for a directory at most
 SALTS = 32
 SHORT, SHORTER, NOTICE = 1000, 500, 2000  # characters: of the query's folders, and of a text that may be a licence notice
 # fixed values: licence templates, shortened to their identifying sentence
@@ -133,8 +134,9 @@ def scan(files: DataFrame, path_col: str, text_col: str, is_licence_file: Column
     prefix = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     ancestors = rows.where(F.col(where).isNotNull()).select(F.col(where).alias("d")).distinct().select(F.col("d").alias("child"), F.explode(F.array_distinct(prefix)).alias("d"))
     nearest = ancestors.join(declared, "d").groupBy("child").agg(F.max_by(F.struct("d", "l"), F.length("d")).alias("x"))
-    # written: the texts are scored once for it and once for the result
-    nearest = written(nearest.select(F.col("child").alias(where), F.col("x.l").alias("inherited_licence"), F.col("x.d").alias("inherited_from")), "nearest-licences")
+    # written: the texts are scored once for it and once for the result; few rows, so not a part for each shuffle partition
+    nearest = nearest.select(F.col("child").alias(where), F.col("x.l").alias("inherited_licence"), F.col("x.d").alias("inherited_from"))
+    nearest = written(nearest.repartition(max(1, math.ceil(total / FILES_A_PART))), "nearest-licences")
     if nearest.count() <= BROADCAST_DIRECTORIES:
         out = rows.join(F.broadcast(nearest), where, "left")
     else:  # a directory may hold a third of all files

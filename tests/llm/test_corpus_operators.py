@@ -86,6 +86,25 @@ def test_licences_are_inherited_from_the_nearest_ancestor(spark):
     assert got[None] == (None, None, None)
 
 
+@pytest.mark.parametrize("each,parts", [(1_000_000, 1), (40, 3)])
+def test_licences_of_directories_are_written_in_parts_by_input_size(spark, monkeypatch, each, parts):
+    rows = [(f"d{k}/LICENSE", "Released under the MIT License.") for k in range(60)] + [(f"d{k}/sub/x.py", "code") for k in range(60)]
+    tables, put = [], licenses.written
+    monkeypatch.setattr(licenses, "written", lambda df, label: tables.append(put(df, label)) or tables[-1])
+    monkeypatch.setattr(licenses, "FILES_A_PART", each, raising=False)
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = licenses.scan(spark.createDataFrame(rows, "p string, t string"), "p", "t").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 120 and all(r["licence"] == "MIT" and r["inherited_from"] == r["p"].split("/")[0] for r in got)
+    assert len(tables) == 1 and tables[0].count() == 120 and len(tables[0].inputFiles()) == parts
+
+
 def test_licences_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "p string, t string"), "p", "t").count() == 0
 
