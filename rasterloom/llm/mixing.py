@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table, unused, written
+from .shared import in_parts, table, unused, written
 
 PERIOD = 5040
 BLOCK = 16  # documents
@@ -98,13 +98,14 @@ def numbered(docs: DataFrame, id_col: str, key: str, block: int, plan: DataFrame
     """
     bucket, before, number, order, slots, own = unused(docs, "bucket", "before", "number", "order", "bucket_plan", "own_plan")
     sizes = docs.groupBy(key).agg(F.count("*").alias("n"))
-    buckets = max(1, math.ceil((sizes.agg(F.max("n")).first()[0] or 1) / BUCKET_ROWS))
+    most, sources = sizes.agg(F.max("n"), F.count("*")).first()
+    buckets = max(1, math.ceil((most or 1) / BUCKET_ROWS))
     # rows that repeat an id (or have none) are told apart by their other columns; equal rows are interchangeable
     others = [c for c in docs.columns if c not in (id_col, key)]
     h = F.xxhash64(F.col(id_col), *others)
     spread = F.floor((F.shiftrightunsigned(h, 33).cast("double") / float(1 << 31)) * buckets).cast("long")
     docs = docs.withColumn(order, h).withColumn(bucket, spread)
-    counts = written(docs.groupBy(key, bucket).agg(F.count("*").alias("n")), "source-buckets")
+    counts = written(in_parts(docs.groupBy(key, bucket).agg(F.count("*").alias("n")), sources * buckets), "source-buckets")
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before), "n")
     spans = offsets.select(key, bucket, before, F.explode(F.sequence(F.floor(F.col(before) / block).cast("long"), F.floor((F.col(before) + F.col("n") - 1) / block).cast("long"))).alias("k"))
@@ -146,7 +147,7 @@ def block_plan(counts: DataFrame, key: str, weights: dict | None, block: int) ->
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held)], names=[key, "k", "r", "d", "s"])
 
-    return written(counts.select(key, "n").coalesce(1).mapInArrow(run, f"`{key}` string, k long, r long, d long, s long"), "block-plan")
+    return written(counts.select(key, "n").repartition(1).mapInArrow(run, f"`{key}` string, k long, r long, d long, s long"), "block-plan")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
@@ -168,7 +169,7 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     counts = keyed.groupBy(key).agg(F.count("*").alias("n"))
     named = {None if x is None else str(x): w for x, w in weights.items()} if weights else None
     target = None if named is None else {"null" if x is None else f"={x}": w for x, w in named.items()}
-    rows, number, own = numbered(keyed, id_col, key, block, block_plan(written(counts, "source-counts"), key, target, block))
+    rows, number, own = numbered(keyed, id_col, key, block, block_plan(counts, key, target, block))
     out = {"block": F.col(f"{own}.k"), "release": F.col(f"{own}.r"), "deadline": F.col(f"{own}.d"), "slot": F.col(f"{own}.s"), "place": (F.col(number) % block).cast("int")}
     return rows.withColumns(out).select(*docs.columns, *added)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom import session
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
+ROWS_A_PART = 4000  # of a small written table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return session.written(df, label)
 
 
+def in_parts(df: DataFrame, rows: int, again: bool = False) -> DataFrame:
+    """``df`` in a part for each ``ROWS_A_PART`` of ``rows`` rows where that is fewer than it has, for a table about to be written.
+
+    A shuffle partition would be a file each, however few its rows.  Parts are merged where the last stage
+    is light; ``again`` deals the rows out once more and keeps the tasks that make them.
+    """
+    parts = max(1, math.ceil(rows / ROWS_A_PART))
+    if not again:
+        return df.coalesce(parts)
+    return df.repartition(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     session.forget(df)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import forget, table, unused, written
+from .shared import forget, in_parts, table, unused, written
 
 SEED = 42
 SHINGLE = 4
@@ -86,7 +86,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = written(edges.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), f"{label}-edges")
-    seen = None
+    seen, rows = None, edges.count()
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -95,12 +95,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct()
-        before, edges = edges, written(small, f"{label}-star")
+        before, edges = edges, written(in_parts(small, rows), f"{label}-star")
         forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("b").alias("fp"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("fp"), F.col("a").alias("root")).distinct())
-        seen = now
+        seen, rows = now, now[0]
 
 
 def link_components(fps: DataFrame) -> DataFrame:
@@ -109,13 +109,14 @@ def link_components(fps: DataFrame) -> DataFrame:
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = fps.repartition(tasks, "fp").transform(buckets)
     shared = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    shared = written(shared, "shared-buckets")
+    rows = fps.count()
+    shared = written(in_parts(shared, rows, again=True), "shared-buckets")
     # a bucket of two needs no members: its pair is (lo, hi)
     found = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(_near("a", "b"))
     wanted = shared.where("n > 2").select("key")
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    members = written(pairs.join(wanted, "key"), "large-buckets")
+    members = written(in_parts(pairs.join(wanted, "key"), rows, again=True), "large-buckets")
     roots = None
     for k in range(HUB_ROUNDS):
         hub = members.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("hub"))
@@ -124,7 +125,7 @@ def link_components(fps: DataFrame) -> DataFrame:
         found = roots.select(F.col("fp").alias("a"), F.col("root").alias("b"))
         rooted = members.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        members = written(rooted.join(mixed, "key"), "mixed-buckets")
+        members = written(in_parts(rooted.join(mixed, "key"), members.count()), "mixed-buckets")
     left = members.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     right = members.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("ra") < F.col("rb")) & _near("a", "b"))
@@ -140,19 +141,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows.  Column names of the input do not matter beyond ``id_col`` and ``text_col``.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = written(link_components(distinct.select("fp")), "roots")
+    rows = prints.count()
+    distinct = written(in_parts(prints.groupBy("fp").agg(F.min("id").alias("least")), rows), "distinct-fingerprints")
+    roots = written(in_parts(link_components(distinct.select("fp")), rows), "roots")
     named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
-    by_print = written(named.join(least, "root").select("fp", "component_id"), "print-components")
-    return _spread_join(prints, by_print)
+    least = written(in_parts(named.groupBy("root").agg(F.min("least").alias("component_id")), rows), "component-names")
+    by_print = written(in_parts(named.join(least, "root").select("fp", "component_id"), rows), "print-components")
+    return _spread_join(prints, by_print, rows)
 
 
-def _spread_join(prints: DataFrame, by_print: DataFrame) -> DataFrame:
-    """Equi-join on ``fp`` with the rows of very common fingerprints dealt over salts."""
-    rows = prints.count()
+def _spread_join(prints: DataFrame, by_print: DataFrame, rows: int) -> DataFrame:
+    """Equi-join on ``fp`` of ``rows`` fingerprints, with the rows of very common ones dealt over salts."""
     limit = max(64, rows // 20_000)
-    common = written(prints.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("fp", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "common-prints")
+    common = prints.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("fp", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    common = written(in_parts(common, rows), "common-prints")
     # at most rows / limit <= 20,000 fingerprints are that common
     left = prints.join(F.broadcast(common), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("salts")
     right = by_print.join(F.broadcast(common), "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
@@ -168,9 +170,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     name, print_name = unused(docs, "dropped_id", "fingerprint")
     found = near_duplicates(docs, id_col, text_col)
-    drop = written(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(name), F.col("fp").alias(print_name)).distinct(), "dropped-ids")
+    rows = docs.count()
+    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(name), F.col("fp").alias(print_name)).distinct()
+    drop = written(in_parts(drop, rows), "dropped-ids")
     several = found.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias(name))
-    several = written(several, "ambiguous-ids")
+    several = written(in_parts(several, rows), "ambiguous-ids")
     same = docs[id_col].eqNullSafe(drop[name])
     if several.isEmpty():  # ids are keys
         return docs.join(drop, same, "left_anti")

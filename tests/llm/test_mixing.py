@@ -3,7 +3,9 @@
 from collections import Counter
 from fractions import Fraction
 
-from rasterloom.llm import mixing
+import pytest
+
+from rasterloom.llm import mixing, simhash
 
 
 def holds(rows, shares, blocks):
@@ -49,3 +51,30 @@ def test_more_sources_than_a_period_all_get_their_share(spark):
     got = mixed(spark, [(k, f"s{k}") for k in range(n)])
     assert sorted(r["slot"] for r in got) == list(range(n))
     assert len(mixed(spark, [(1, "s1")], weights={f"s{k}": 1.0 for k in range(n)})) == 1
+
+
+@pytest.mark.parametrize("module,most", [(mixing, 2), (simhash, 3)])
+def test_small_tables_are_not_a_file_each_shuffle_partition(spark, monkeypatch, module, most):
+    docs = spark.createDataFrame([(k, f"s{k % 30}", f"one two three {k // 3}") for k in range(600)], "doc_id long, source string, text string")
+    files, put = {}, module.written
+
+    def counted(df, label):
+        out = put(df, label)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        if module is mixing:
+            assert len({(r["slot"], r["place"]) for r in mixing.mix(docs).collect()}) == 600
+        else:
+            assert {r["id"] - r["component_id"] for r in simhash.near_duplicates(docs).collect()} >= {0, 1, 2}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    dealt = {label: n for label, n in files.items() if label != "fingerprints" and not label.endswith("-edges")}
+    assert dealt and max(dealt.values()) <= most
