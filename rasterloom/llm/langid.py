@@ -132,7 +132,10 @@ def fit(sample: DataFrame, languages: list[str]) -> Model:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["y", "f", "c"])
 
-    found = written(sample.select("y", "text").mapInArrow(count, "y int, f int, c long").groupBy("y", "f").agg(F.sum("c").alias("c")), "language-counts")
+    found = sample.select("y", "text").mapInArrow(count, "y int, f int, c long").groupBy("y", "f").agg(F.sum("c").alias("c"))
+    blocks = math.ceil(len(languages) / LANGUAGES_AT_ONCE)
+    if blocks > 1:  # read once a block
+        found = written(found.repartition(blocks), "language-counts")
     on, off = code.T.astype(float), 1.0 - code.T
     side_on, side_off = np.zeros((len(on), 1 << BITS)), np.zeros((len(on), 1 << BITS))
     for first in range(0, len(languages), LANGUAGES_AT_ONCE):

@@ -205,3 +205,29 @@ def test_dual_coordinate_descent_against_a_plain_solver():
     assert primal(own) <= best * 1.01
     dense = np.arange(0, 1 << quality.BITS, 3, dtype=np.int32)
     assert len(quality.packed(dense)) == (1 << quality.BITS) // 8 and (quality.Sample([quality.packed(dense)])[0] == dense).all()
+
+
+@pytest.mark.parametrize("at_once,tables", [(64, []), (2, [2])])
+def test_language_counts_are_written_only_if_read_again(spark, monkeypatch, at_once, tables):
+    files, put = [], langid.written
+
+    def counted(df, label):
+        out = put(df, label)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(langid, "written", counted)
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", at_once)
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    texts = {"x": "the quick brown fox", "y": "der schnelle braune Fuchs", "z": "le renard brun rapide"}
+    rows = [(k, texts[y] + f" {k}", y) for k, y in enumerate("xyz" * 20)]
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, y string"), ["x", "y", "z"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files == tables
+    assert model.decode(pa.array(list(texts.values())))[0] == list(texts)
