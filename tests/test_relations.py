@@ -164,6 +164,21 @@ def test_station_pairs_near_the_pole_and_the_date_line(spark):
     assert got == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if 1 <= d[i, j] <= 30} and len(got) > 50
 
 
+def test_stations_of_one_place_share_distances_and_nothing_is_broadcast(spark):
+    rng = np.random.default_rng(3)
+    places = [(float(a), float(o)) for a, o in zip(rng.uniform(40, 40.6, 12), rng.uniform(7, 7.6, 12))]
+    at = [places[k % 12] for k in rng.permutation(60)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(at)] + [(60, None, 7.0), (61, 40.0, None)], "id int, lat double, lon double")
+    f, g = np.radians(np.array(at).T)
+    d = 2 * v.EARTH_KM * np.arcsin(np.sqrt(np.sin((f[:, None] - f) / 2) ** 2 + np.cos(f)[:, None] * np.cos(f) * np.sin((g[:, None] - g) / 2) ** 2))
+    for least in (0.0, 1.0):
+        out = v.station_pairs(df, least, 30.0)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["a"], r["b"]): r["km"] for r in out.collect()}
+        assert set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60) if least <= d[i, j] <= 30} and out.count() == len(got)
+        assert all(got[p] == pytest.approx(d[p], abs=1e-9) for p in got)
+
+
 def test_affine_fit_against_lstsq(spark):
     rng = np.random.default_rng(8)
     x, y, a = rng.normal(size=(3, 300))
