@@ -1,5 +1,6 @@
 """Distributed linking against the kernels run on the whole grid."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,23 @@ def test_tile_size_bounds_memory_and_fills_cores():
     assert linking.tile_size(32, (10_000, 10_000), 8) == 64
     assert linking.tile_size(100, (10_000, 10_000), 8) == 20
     assert linking.tile_size(32, (80, 25), 8) == 16
+
+
+WINDOWED = ("avg_coherence_final", "avg_coherence_per_date", "bias_corrected", "bias_velocity", "box_sum", "closure_all", "coherence_full", "residual_closure", "temp_coh_all")
+GRIDS = {"last row": "vec_id < 135", "gaps": "vec_id < 140 AND vec_id NOT IN (0, 26, 51, 60, 61, 62, 85, 86, 87, 139) AND vec_id % 11 <> 4", "two rows": "vec_id < 40"}
+
+
+@pytest.fixture(scope="module", params=list(GRIDS))
+def gapped(request, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("gapped")
+    duckdb.sql(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE {GRIDS[request.param]}) TO '{folder}/embeddings.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_grids_that_are_not_full_equal_the_sql(spark, gapped, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{gapped}/embeddings.parquet'")
+    want = con.execute(stack.ORACLES[name])
+    names, want = [c[0] for c in want.description], sorted(want.fetchall())
+    assert sorted(tuple(r) for r in stack.QUERIES[name](spark, gapped).select(*names).collect()) == want and want
