@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterloom.errors import EngineError, SourceError
+from rasterloom.session import written
 from rasterloom.sources.adapters import E_CUBE_SQL, ORIGIN, c_stack, e_cube, table
 
 from .coherence import part, r6
@@ -155,6 +156,22 @@ def burst_scale(residuals: DataFrame, key: str) -> DataFrame:
     return x.where((F.col("n") >= LEAST_EPOCHS) & (F.col("k") == F.ceil(F.round(NOMINAL * (F.col("n") - 1), 9)))).select(key, F.col("r").alias("scale"))
 
 
+def middle_scales(each: DataFrame) -> DataFrame:
+    """``(method, n, m0, m1, m2)`` of ``(method, scale)``: the number of scales and those in order about the middle, ``m1`` being the lower median.
+
+    Only scales between two percentiles near the middle are put in order, each value once with its number of rows.
+    """
+    near = each.groupBy("method").agg(F.count("*").alias("n"), F.percentile_approx("scale", [0.49, 0.51], 10000).alias("q"))
+    wide = F.col("n") >= 1000  # below that all of them
+    x = each.join(F.broadcast(near), "method").withColumn("side", F.when(wide & (F.col("scale") < F.col("q")[0]), -1).when(wide & (F.col("scale") > F.col("q")[1]), 1).otherwise(0))
+    below = x.groupBy("method").agg(F.min("n").alias("n"), F.count(F.when(F.col("side") < 0, 1)).alias("below"))
+    runs = x.where("side = 0").groupBy("method", "scale").agg(F.count("*").alias("rows")).join(F.broadcast(below), "method")
+    runs = runs.withColumn("end", F.col("below") + F.sum("rows").over(Window.partitionBy("method").orderBy("scale")))
+    at = lambda p: F.max(F.when((p >= F.col("end") - F.col("rows")) & (p < F.col("end")), F.col("scale")))
+    low = F.floor((F.col("n") - 1) / 2)
+    return runs.groupBy("method", "n").agg(*[at(low + k - 1).alias(f"m{k}") for k in range(3)])
+
+
 def cohort_score(residuals: DataFrame) -> DataFrame:
     """Per held-out burst the method and scale that the other bursts choose, and scores without and with them.
 
@@ -168,12 +185,12 @@ def cohort_score(residuals: DataFrame) -> DataFrame:
     total = own.groupBy("method").agg(F.sum("score").alias("s"), F.count("score").alias("n"))
     train = own.join(F.broadcast(total), "method").select("burst", "method", ((F.col("s") - F.col("score")) / (F.col("n") - 1)).alias("m"))
     base = train.groupBy("burst").agg(F.min_by("method", F.struct("m", "method")).alias("method"))
-    each = burst_scale(residuals.withColumn("key", F.struct("method", "burst")), "key").select("key.method", "key.burst", "scale")
-    listed = each.groupBy("method").agg(F.array_sort(F.collect_list(F.struct("scale", "burst"))).alias("all"))  # one entry a burst
-    held = base.join(F.broadcast(listed), "method")
-    rest = F.transform(F.filter("all", lambda x: x["burst"] != F.col("burst")), lambda x: x["scale"])
-    n = F.size(rest)
-    median = (F.element_at(rest, F.floor((n - 1) / 2).cast("int") + 1) + F.element_at(rest, F.floor(n / 2).cast("int") + 1)) / 2
+    each = written(burst_scale(residuals.withColumn("key", F.struct("method", "burst")), "key").select("key.method", "key.burst", "scale"), "burst-scales")
+    held = base.join(F.broadcast(middle_scales(each)), "method").join(each.withColumnRenamed("scale", "own"), ["burst", "method"], "left")
+    without = lambda p: F.when(F.col("own") > F.col(f"m{p}"), F.col(f"m{p}")).otherwise(F.col(f"m{p + 1}"))
+    odd = F.col("n") % 2 == 1
+    rest = F.when(odd, (without(0) + without(1)) / 2).otherwise(without(1))
+    median = F.when(F.col("own").isNotNull(), rest).otherwise((F.col("m1") + F.when(odd, F.col("m1")).otherwise(F.col("m2"))) / 2)
     chosen = held.select("burst", "method", median.alias("scale"))
     scaled = residuals.join(chosen, ["burst", "method"]).withColumn("sigma", F.col("sigma") * F.col("scale"))
     after = interval_scores(scaled, ["burst", "method"], {"90": LEVELS["90"]}).select("burst", "method", F.col("score").alias("calibrated_score"))

@@ -164,6 +164,20 @@ def test_station_pairs_near_the_pole_and_the_date_line(spark):
     assert got == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if 1 <= d[i, j] <= 30} and len(got) > 50
 
 
+@pytest.mark.parametrize("bursts", [5, 6, 1100, 1101])
+def test_held_out_scales_are_medians_of_the_others_without_a_list_of_all(spark, bursts):
+    rng = np.random.default_rng(bursts)
+    n = np.where(np.arange(bursts) % 7 == 3, 2, 4)  # two epochs are too few for a scale
+    z = np.round(rng.normal(0, 2, (bursts, 4)), 1)  # equal scales occur
+    rows = [(b, name, float(z[b, t]), s) for b in range(bursts) for t in range(n[b]) for name, s in (("crlb_only", 1.0), ("posterior_only", 0.1))]
+    df = spark.createDataFrame(rows, "burst int, method string, residual double, sigma double")
+    out = v.cohort_score(df)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["burst"]: r["scale"] for r in out.collect()}
+    scales = {b: np.sort(np.abs(z[b]) / v.Z90)[3] for b in range(bursts) if n[b] == 4}
+    assert len(got) == bursts and all(got[b] == pytest.approx(np.median([s for k, s in scales.items() if k != b])) for b in got)
+
+
 def test_stations_of_one_place_share_distances_and_nothing_is_broadcast(spark):
     rng = np.random.default_rng(3)
     places = [(float(a), float(o)) for a, o in zip(rng.uniform(40, 40.6, 12), rng.uniform(7, 7.6, 12))]
