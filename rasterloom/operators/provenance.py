@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from rasterloom.kernels.delays import ELLIPSOID_A
 from rasterloom.sources.adapters import table
 
-from .coherence import r6
+from .coherence import once, r6
 
 ELLIPSOID_B = 6356752.314245179
 HEADING_GATE, RANGE_GATE, AZIMUTH_GATE, TIME_GATE, INCIDENCE_GATE = 1.0, 1e-6, 0.1, 60.0, 3.0  # fixed values
@@ -45,13 +45,20 @@ def mismatched(statics: DataFrame, granules: DataFrame) -> DataFrame:
 
 
 def state_at(at: Column, orbit: str = "orbit") -> Column:
-    """Orbit state at a time, linear between the vectors around it; null outside their span or with fewer than two."""
+    """Orbit state at a time, linear between the vectors around it; null outside their span or with fewer than two.
+
+    The place in the orbit and its two vectors are found once a row, not once a component.
+    """
     inside = (F.size(orbit) >= 2) & (at >= F.col(orbit)[0]["t"]) & (at <= F.element_at(orbit, -1)["t"])
     ahead = F.size(F.filter(orbit, lambda v: v["t"] < at))
-    hi = F.least(F.greatest(ahead, F.lit(1)), F.size(orbit) - 1)
-    a, b = F.col(orbit)[hi - 1], F.col(orbit)[hi]
-    w = F.when(b["t"] > a["t"], (at - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
-    return F.when(inside, F.struct(*[(a[c] + w * (b[c] - a[c])).alias(c) for c in ("px", "py", "pz", "vx", "vy", "vz")]))
+    around = once(F.least(F.greatest(ahead, F.lit(1)), F.size(orbit) - 1), lambda hi: F.struct(F.col(orbit)[hi - 1].alias("a"), F.col(orbit)[hi].alias("b"), at.alias("at")))
+
+    def mixed(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        w = F.when(b["t"] > a["t"], (x["at"] - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
+        return F.struct(*[(a[c] + w * (b[c] - a[c])).alias(c) for c in ("px", "py", "pz", "vx", "vy", "vz")])
+
+    return F.when(inside, once(around, mixed))
 
 
 def seconds(x: Column) -> Column:
@@ -61,7 +68,8 @@ def seconds(x: Column) -> Column:
 def granule_geometry(granules: DataFrame) -> DataFrame:
     """``(name, heading, azimuth_m, time_of_day)`` at mid-acquisition; null where the orbit does not reach it."""
     mid = (seconds(F.col("start")) + seconds(F.col("stop"))) / 2
-    s = granules.withColumn("_mid", mid).withColumn("_s", state_at(F.col("_mid") - seconds(F.col("epoch"))))
+    s = granules.withColumn("_mid", mid).withColumn("_at", F.col("_mid") - seconds(F.col("epoch")))
+    s = s.select("*", F.explode(F.array(state_at(F.col("_at")))).alias("_s"))  # one row each: a column would be worked out again at every use
     lon, lat = F.radians("lon"), F.radians("lat")
     v = [F.col(f"_s.v{c}") for c in "xyz"]
     p = [F.col(f"_s.p{c}") for c in "xyz"]

@@ -164,6 +164,25 @@ def test_station_pairs_near_the_pole_and_the_date_line(spark):
     assert got == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if 1 <= d[i, j] <= 30} and len(got) > 50
 
 
+def uses(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name + "(")
+
+
+def test_an_orbit_is_searched_once_a_row(spark):
+    orbit = [(float(t), 7e6, 10.0 * t, 0.0, 100.0, 7500.0, float(t)) for t in range(0, 70, 10)]
+    when = datetime(2024, 1, 15, 6, 30)
+    rows = [(f"g{k}", "ascending", "T1-1-IW2", when.replace(second=k), when.replace(second=k + 3), when, 2.3, 0.002, 0.1, 1.5, o) for k, o in ((20, orbit), (40, orbit), (20, orbit[:1]), (20, []), (20, None))]
+    found = p.granule_geometry(spark.createDataFrame(rows, p.GRANULE))
+    assert uses(found, "filter") == 1
+    got = found.select("heading", "azimuth_m", "time_of_day").collect()
+    assert [r["heading"] is not None for r in got] == [True, True, False, False, False]
+    for r, t in zip(got, (21.5, 41.5)):
+        v, pos, lon, lat = (100.0, 7500.0, t), (7e6, 10 * t, 0.0), math.radians(0.1), math.radians(1.5)
+        east, north = v[1] * math.cos(lon) - v[0] * math.sin(lon), v[2] * math.cos(lat) - math.sin(lat) * (v[0] * math.cos(lon) + v[1] * math.sin(lon))
+        assert r["heading"] == pytest.approx(math.degrees(math.atan2(east, north)) % 360) and r["time_of_day"] == 23400 + t
+        assert r["azimuth_m"] == pytest.approx(0.002 * math.hypot(*v) * 6378122 / math.hypot(*pos), rel=1e-4)
+
+
 @pytest.mark.parametrize("bursts", [5, 6, 1100, 1101])
 def test_held_out_scales_are_medians_of_the_others_without_a_list_of_all(spark, bursts):
     rng = np.random.default_rng(bursts)
