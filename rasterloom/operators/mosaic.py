@@ -12,7 +12,7 @@ from rasterloom.errors import StitchError
 from rasterloom.kernels import neighbours as shp
 from rasterloom.sources.adapters import C_STACK_SQL, E_CUBE_SQL, EPOCHS, ORIGIN, c_stack, e_cube
 
-from .coherence import part, r6
+from .coherence import once, part, r6
 from .linking import tile_cube, tile_size, tile_window, to_tiles
 from .stack import grid_shape
 
@@ -125,10 +125,15 @@ def neighbours(stack: DataFrame, shape: tuple[int, int], method: str = "ks", hal
 def fill_persistent(stack: DataFrame, threshold: float, by: tuple[int, int] = (2, 2), reference: int = 0, epochs: int = EPOCHS) -> DataFrame:
     """``(row, col, epoch, phase)`` of each output cell's brightest steady pixel, the last of equals, against ``reference``."""
     amp = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda k: F.sqrt(F.pow(F.element_at("z", 2 * k + 1), 2) + F.pow(F.element_at("z", 2 * k + 2), 2)))
-    mean = F.aggregate("amp", F.lit(0.0), lambda a, x: a + x) / epochs
-    p = stack.withColumn("amp", amp).withColumn("mean", mean)
-    spread = F.sqrt(F.aggregate("amp", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / epochs) / F.col("mean")
-    steady = p.where((F.col("mean") > 0) & (F.round(spread, 9) < threshold) & (spread > 0))
+    mean = once(amp, lambda a: F.struct(a.alias("amp"), (F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / epochs).alias("mean")))
+
+    def spread(v: Column) -> Column:
+        size = F.aggregate(v["amp"], F.lit(0.0), lambda s, x: s + (x - v["mean"]) * (x - v["mean"])) / epochs
+        return F.when(v["mean"] > 0, F.struct(v["mean"].alias("mean"), (F.sqrt(size) / v["mean"]).alias("spread")))
+
+    # an exploded column is worked out once a pixel; as a plain one it would be at each use, for every epoch within
+    p = stack.select("row", "col", "z", F.explode(F.array(once(mean, spread))).alias("q")).select("row", "col", "z", "q.mean", "q.spread")
+    steady = p.where((F.col("mean") > 0) & (F.round("spread", 9) < threshold) & (F.col("spread") > 0))
     best = steady.groupBy(F.floor(F.col("row") / by[0]).alias("orow"), F.floor(F.col("col") / by[1]).alias("ocol")).agg(F.max_by("z", F.struct(F.round("mean", 9), "row", "col")).alias("z"))
     theta = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda k: F.atan2(F.element_at("z", 2 * k + 2), F.element_at("z", 2 * k + 1))))
     first = F.atan2(part(reference, 1), part(reference, 0))

@@ -183,6 +183,24 @@ def test_an_orbit_is_searched_once_a_row(spark):
         assert r["azimuth_m"] == pytest.approx(0.002 * math.hypot(*v) * 6378122 / math.hypot(*pos), rel=1e-4)
 
 
+def test_amplitudes_are_summed_twice_a_pixel(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(16, 64))
+    z[5] = 0.0
+    df = spark.createDataFrame([(k // 4, k % 4, [float(x) for x in z[k]]) for k in range(16)], "row long, col long, z array<double>")
+    found = m.fill_persistent(df, 0.6)
+    assert uses(found, "aggregate") == 2
+    amp = np.abs(z[:, 0::2] + 1j * z[:, 1::2])
+    with np.errstate(invalid="ignore"):
+        good = (amp.mean(1) > 0) & (amp.std(1) / amp.mean(1) < 0.6)
+    best = {}
+    for k in np.flatnonzero(good):
+        best[k // 8, k % 4 // 2] = max(best.get((k // 8, k % 4 // 2), (0.0, -1)), (amp[k].mean(), k))
+    got = {(r["row"], r["col"], r["epoch"]): r["phase"] for r in found.collect()}
+    want = {(r, c, t): np.angle(z[k, 2 * t] + 1j * z[k, 2 * t + 1]) - np.angle(z[k, 0] + 1j * z[k, 1]) for (r, c), (_, k) in best.items() for t in range(32)}
+    assert set(got) == set(want) and got and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in got)
+
+
 @pytest.mark.parametrize("bursts", [5, 6, 1100, 1101])
 def test_held_out_scales_are_medians_of_the_others_without_a_list_of_all(spark, bursts):
     rng = np.random.default_rng(bursts)
