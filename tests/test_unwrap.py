@@ -1,11 +1,14 @@
 """Unwrapping kernels against brute force, truth fields and invariants."""
 
+import heapq
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 from rasterloom.errors import UnwrapError
+from rasterloom.kernels import graphs
 from rasterloom.kernels import unwrap as u
 from rasterloom.kernels.graphs import components, spanning_offsets
 
@@ -71,6 +74,38 @@ def test_tiled_agrees_with_global_per_component():
         assert (d != np.median(d)).mean() <= 0.005
 
 
+def noise(shape, seed, top=0.6):
+    rng = np.random.default_rng(seed)
+    psi, corr = rng.uniform(-np.pi, np.pi, shape), rng.uniform(0, top, shape)
+    return u.residues(*u.gradients(psi)), *u.edge_costs(corr)
+
+
+def test_searches_along_the_level_settle_as_full_searches_do(monkeypatch):
+    fields = [noise((3 + k % 9, 2 + k % 7), k, (0.6, 1.0)[k % 2]) for k in range(40)] + [noise((60, 8), 1), noise((8, 60), 2)]
+    fields += [(np.random.default_rng(k).integers(-2, 3, r.shape), x, y) for k, (r, x, y) in enumerate(fields[:20])]
+    near = [u.face_flow(*f) for f in fields]
+    monkeypatch.setattr(graphs.Level, "next", lambda self: None)
+    for f, (kx, ky) in zip(fields, near):
+        x, y = u.face_flow(*f)
+        assert np.array_equal(kx, x) and np.array_equal(ky, y)
+
+
+def test_work_grows_with_the_grid_not_with_its_square(monkeypatch):
+    pushed = [0]
+
+    def counted(heap, item):
+        pushed[0] += 1
+        heapq.heappush(heap, item)
+
+    monkeypatch.setattr(graphs, "heapq", SimpleNamespace(heappush=counted, heappop=heapq.heappop, heapify=heapq.heapify))
+    each = []
+    for high in (100, 400):
+        pushed[0] = 0
+        u.face_flow(*noise((high, 9), 3))
+        each.append(pushed[0])
+    assert each[1] < 6 * each[0]
+
+
 def test_components_by_size_then_first_pixel():
     corr = np.array([[0.8, 0.8, 0.02, 0.8, 0.8, 0.8]] * 3)
     got = u.label_regions(corr, min_share=0)
