@@ -138,3 +138,11 @@ def test_small_parts():
     assert u.grid_edges((2, 2)) == [(0, 1), (0, 2), (1, 3), (2, 3)]
     w = u.feather((2, 4, 0, 2), (0, 6, 0, 2))
     assert np.allclose(w[:, 0], [1 / 3, 2 / 3, 1, 1, 1, 0.5])
+
+
+def test_only_the_pairs_of_the_network_are_formed(spark):
+    from rasterloom.operators.unwrapping import sample_network
+
+    ifgs, _ = sample_network(spark, "/root/testdata/sf0.001", [(0, 1), (0, 3)])
+    assert "sequence(0, 31" not in ifgs._jdf.queryExecution().analyzed().toString()
+    assert {(r["ifg"], r["i"], r["j"]): r["count"] for r in ifgs.groupBy("ifg", "i", "j").count().collect()} == {(0, 0, 1): 500, (1, 0, 3): 500}
